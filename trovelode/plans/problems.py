@@ -1,0 +1,35 @@
+"""Queries of the numbered problems that belong to the core: splitting (2) and near duplicates (4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from trovelode.operators import neardup, split
+from trovelode.tables import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.oversized(table(spark, sf_dir, "chunks"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_chunks(table(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, sf_dir, "chunks"), similarity=0.6)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(table(spark, sf_dir, "chunks"), similarity=0.8)
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_groups": p4_groups}
+
+SQL = {
+    "p2_found": """
+        SELECT DISTINCT segment_hash FROM chunks
+        WHERE segment_hash IS NOT NULL
+          AND length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 4024
+    """,
+}
