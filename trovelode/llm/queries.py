@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trovelode.llm import bpe, packing
+from trovelode.llm import abuse, bpe, docpairs, generated, packing, secrets
 from trovelode.tables import table
 
 
@@ -24,6 +25,46 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p7_containers(spark, sf_dir))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_reasons(spark, sf_dir).select(F.col("path").alias("file_path")).distinct()
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.not_hand_written(table(spark, sf_dir, "files"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.found(table(spark, sf_dir, "chunks"))
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.credentials(table(spark, sf_dir, "chunks"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted(table(spark, sf_dir, "chunks"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_reasons": p1_reasons, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found,
+    "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
+    "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill,
+}
 
 SQL = {"p6_round_trip": "SELECT doc_id, text FROM documents"}
