@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trovelode.plans import problems
+from trovelode.plans import problems, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES: dict[str, Query] = {**search.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**search.SQL, **problems.SQL}
