@@ -78,15 +78,16 @@ class HttpEmbedder:
         raise AssertionError
 
 
-def embed_column(
-    rows: DataFrame, provider: EmbeddingProvider, key: str = "segment_hash", text: str = "content", batch: int = config.EMBEDDING_BATCH
-) -> DataFrame:
-    """(id, vector): the vector of each row's text, in batches of ``batch``; null texts have a null vector."""
-    source = spread(rows.select(F.col(key).alias("id"), F.col(text).alias("text")))
+def with_vectors(rows: DataFrame, provider: EmbeddingProvider, text: str = "content", batch: int = config.EMBEDDING_BATCH) -> DataFrame:
+    """The rows with a column ``vector`` of their text, embedded in batches of ``batch``; null texts have a null vector.
+
+    The vector travels in its row, so nothing has to be joined.
+    """
+    source = spread(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            texts = part.column("text").to_pylist()
+            texts = part.column(text).to_pylist()
             vectors: list[list[float] | None] = [None] * len(texts)
             there = [i for i, t in enumerate(texts) if t is not None]
             for start in range(0, len(there), batch):
@@ -95,7 +96,13 @@ def embed_column(
                     if len(v) != provider.dimensions:
                         raise ValueError(f"a vector has {len(v)} numbers, not {provider.dimensions}")
                     vectors[i] = v
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(vectors, pa.list_(pa.float32()))], ["id", "vector"])
+            column = pa.array(vectors, pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "vector"])
 
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*source.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
     return source.mapInArrow(run, schema)
+
+
+def embed_column(rows: DataFrame, provider: EmbeddingProvider, key: str = "segment_hash", text: str = "content") -> DataFrame:
+    """(id, vector) of each row."""
+    return with_vectors(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), provider, "text").select("id", "vector")
