@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovelode import config
+from trovelode.tables import latest_if_delivered
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -30,11 +31,11 @@ def query_terms(query: str) -> list[str]:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, segment_hash, tf, positions array from 0): the inverted index. Keyed by term and chunk, so that a term in
-    very many chunks is no large group."""
+    very many chunks is no large group. Positions are a set, so a chunk delivered again changes nothing."""
     words = chunks.where("content is not null").select("segment_hash", F.posexplode(tokens(F.col("content"))).alias("position", "term"))
     return words.groupBy("term", "segment_hash").agg(
-        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")
-    )
+        F.array_sort(F.collect_set("position")).alias("positions")
+    ).select("term", "segment_hash", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -55,38 +56,40 @@ def search(
 ) -> DataFrame:
     """(file_path, start_line, end_line, code_chunk, score, segment_hash): chunks with any term, by BM25.
 
-    Statistics come from the whole collection, the prefix (a plain string prefix) only restricts the results. Two passes
-    over the contents and a one-row broadcast, no shuffle of tokens: only the terms of the query are counted. A query
-    without terms has no results.
+    Statistics come from the whole collection, the prefix (a plain string prefix) only restricts the results. Only the
+    terms of the query are counted, in the scan, and contents are fetched for the results alone. A query without terms has
+    no results.
     """
     terms = query_terms(query)
     k1, b = config.BM25_K1, config.BM25_B
-    words = chunks.where("content is not null").withColumn("tokens", tokens(F.col("content")))
-    counts = words.select(
-        "segment_hash", "file_path", "start_line", "end_line", "content", F.size("tokens").alias("length"),
-        *[_occurrences(term).alias(f"tf{i}") for i, term in enumerate(terms)],
-    )
-    stats = words.select("tokens").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.size("tokens")).alias("average"),
-        *[F.count_if(F.array_contains("tokens", term)).alias(f"df{i}") for i, term in enumerate(terms)],
+    kept = [c for c in chunks.columns if c == "indexed_at"]
+    words = chunks.where("content is not null and segment_hash is not null").withColumn("tokens", tokens(F.col("content")))
+    tf = [F.coalesce(_occurrences(term), F.lit(0)).alias(f"tf{i}") for i, term in enumerate(terms)]
+    # A chunk delivered again counts once. What is shuffled for that is its key and counts, not its content.
+    narrow = latest_if_delivered(
+        words.select("segment_hash", "file_path", "start_line", "end_line", F.size("tokens").alias("length"), *tf, *kept), ["segment_hash"], "indexed_at"
+    )
+    stats = narrow.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
     )
-    # Chunks that can't have any term are dropped before their tokens are counted.
-    likely = F.lit(False)
-    for term in terms:
-        likely = likely | F.contains(F.lower("content"), F.lit(term))
-    chosen = counts.where(likely)
+    chosen = narrow.where(" + ".join(f"tf{i}" for i in range(len(terms))) + " > 0" if terms else "false")
     if path_prefix:
         chosen = chosen.where(F.col("file_path").startswith(path_prefix))
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf = F.col(f"tf{i}")
+        count = F.col(f"tf{i}")
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    found = (
-        chosen.join(F.broadcast(stats))
-        .where(" + ".join(f"tf{i}" for i in range(len(terms))) + " > 0" if terms else "false")
-        .select("file_path", "start_line", "end_line", F.col("content").alias("code_chunk"), F.round(score, 9).alias("score"), "segment_hash")
-    )
-    ordered = found.orderBy(F.desc("score"), "segment_hash")
-    return ordered if limit is None else ordered.limit(limit)
+        score = score + idf * count * (k1 + 1) / (count + k1 * (1 - b + b * F.col("length") / F.col("average")))
+    scored = chosen.join(F.broadcast(stats)).select("segment_hash", F.round(score, 9).alias("score"))
+    if limit is not None:
+        scored = scored.orderBy(F.desc("score"), "segment_hash").limit(limit)
+    return with_contents(scored, chunks, limit is not None)
+
+
+def with_contents(scored: DataFrame, chunks: DataFrame, few: bool) -> DataFrame:
+    """Scored keys (segment_hash, score) with the place and content of their chunks, best first."""
+    kept = [c for c in chunks.columns if c == "indexed_at"]
+    rows = chunks.select("segment_hash", "file_path", "start_line", "end_line", F.col("content").alias("code_chunk"), *kept)
+    met = rows.join(F.broadcast(scored) if few else scored, "segment_hash")
+    once = latest_if_delivered(met, ["segment_hash"], "indexed_at")
+    return once.select("file_path", "start_line", "end_line", "code_chunk", "score", "segment_hash").orderBy(F.desc("score"), "segment_hash")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trovelode import config
 from trovelode.functions.text import lines_of
+from trovelode.tables import latest_if_delivered
 
 
 def _matches(text: Column, query: str, regex: bool) -> Column:
@@ -23,7 +24,7 @@ def _matches(text: Column, query: str, regex: bool) -> Column:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(path, line_no int from 1, text): the lines of all files. A final line end begins no line."""
+    """(path, line_no int from 1, text): the lines of all files, each given once. A final line end begins no line."""
     rows = files.where("content is not null").select("path", F.posexplode(_lines(F.col("content"))).alias("n", "text"))
     return rows.select("path", (F.col("n") + 1).alias("line_no"), "text")
 
@@ -39,30 +40,33 @@ def content_windows(files: DataFrame, query: str, context: int = config.GREP_CON
     A blank query has no results; null contents have none.
     """
     content = F.col("content")
-    chosen = files.where(content.isNotNull() & F.lit(bool(query.strip())))
-    if not regex:
-        chosen = chosen.where(_matches(content, query, False))
+    chosen = files.where(F.col("path").isNotNull() & F.lit(bool(query.strip())))
     every = _lines(content)
     hits = F.filter(F.transform(every, lambda text, i: F.when(_matches(text, query, regex), i + 1)), lambda n: n.isNotNull())
-    found = chosen.select(F.col("path").alias("file_path"), every.alias("lines"), hits.alias("hits")).where(F.size("hits") > 0)
-    size = F.size("lines")
+    if not regex:  # lines are only split where the text is somewhere
+        hits = F.when(_matches(content, query, False), hits)
+    size = F.size(every)
 
     def merged(ranges: Column, n: Column) -> Column:
         low, high = F.greatest(F.lit(1), n - context), F.least(size, n + context)
-        last = F.element_at(ranges, -1)
+        last = F.try_element_at(ranges, F.lit(-1))
         joined = F.concat(F.slice(ranges, 1, F.size(ranges) - 1), F.array(F.struct(last["a"].alias("a"), high.alias("b"))))
         apart = F.concat(ranges, F.array(F.struct(low.alias("a"), high.alias("b"))))
-        # the first hit has no range before it; slice() of none would fail
-        return F.when((F.size(ranges) > 0) & (F.coalesce(F.try_element_at(ranges, F.lit(-1))["b"], F.lit(-1)) + 1 >= low), joined).otherwise(apart)
+        return F.when(last["b"] + 1 >= low, joined).otherwise(apart)
 
     start = F.array(F.struct(F.lit(-10).alias("a"), F.lit(-10).alias("b")))
-    ranges = F.filter(F.aggregate("hits", start, merged), lambda r: r["a"] > 0)
-    return found.select("file_path", "lines", F.explode(ranges).alias("r")).select(
-        "file_path",
-        F.col("r.a").alias("start_line"),
-        F.col("r.b").alias("end_line"),
-        F.array_join(F.slice("lines", F.col("r.a"), F.col("r.b") - F.col("r.a") + 1), "\n").alias("code_chunk"),
-        F.lit(config.CONTENT_SCORE).alias("score"),
+    ranges = F.filter(F.aggregate(hits, start, merged), lambda r: r["a"] > 0)
+    windows = F.transform(
+        ranges,
+        lambda r: F.struct(
+            r["a"].alias("start_line"), r["b"].alias("end_line"), F.array_join(F.slice(every, r["a"], r["b"] - r["a"] + 1), "\n").alias("code_chunk")
+        ),
+    )
+    # A file that was delivered again is judged by its last delivery; what travels for that are the windows, not contents.
+    kept = [c for c in files.columns if c == "scanned_at"]
+    found = latest_if_delivered(chosen.select("path", *kept, windows.alias("windows")), ["path"], "scanned_at")
+    return found.select(F.col("path").alias("file_path"), F.explode("windows").alias("w")).select(
+        "file_path", "w.start_line", "w.end_line", "w.code_chunk", F.lit(config.CONTENT_SCORE).alias("score")
     )
 
 
@@ -76,8 +80,9 @@ def preview(files: DataFrame, n: int = config.PREVIEW_LINES) -> DataFrame:
 
 def name_matches(files: DataFrame, query: str) -> DataFrame:
     """(file_path, start_line, end_line, code_chunk, score 0.9): previews of files with the text in their path."""
-    chosen = files.where(F.contains(F.lower("path"), F.lit(query.lower())) & F.lit(bool(query.strip())) & F.col("content").isNotNull())
-    return preview(chosen).select(
+    named = files.where(F.contains(F.lower("path"), F.lit(query.lower())) & F.lit(bool(query.strip())))
+    chosen = latest_if_delivered(named.select("path", "content", *[c for c in files.columns if c == "scanned_at"]), ["path"], "scanned_at")
+    return preview(chosen.where("content is not null")).select(
         F.col("path").alias("file_path"),
         F.lit(1).alias("start_line"),
         F.col("line_count").alias("end_line"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelode import config
+from trovelode.operators.fulltext import with_contents
 
 #: Queries that one pass over the vectors answers; more queries take more passes.
 QUERY_BLOCK = 2_000
@@ -41,18 +42,12 @@ def search(
     """
     scored = vectors.where("id is not null").groupBy("id").agg(F.max(F.round(cosine(F.col("vector"), query), 9)).alias("score"))
     scored = scored.where("score is not null").withColumnRenamed("id", "segment_hash")
-    if path_prefix:
-        chosen = chunks.where(F.col("file_path").startswith(path_prefix))
-        scored = scored.join(chosen.select("segment_hash"), "segment_hash", "left_semi")
-    else:
-        scored = scored.join(chunks.select("segment_hash"), "segment_hash", "left_semi")
+    known = chunks.where(F.col("file_path").startswith(path_prefix)) if path_prefix else chunks
+    scored = scored.join(known.select("segment_hash"), "segment_hash", "left_semi")
     if limit is not None:
         scored = scored.orderBy(F.desc("score"), "segment_hash").limit(limit)
     # Threshold after the limit: it is on the sort key, so the rows are the same and the score is computed once.
-    above = scored.where(F.col("score") > min_score)
-    joined = chunks.join(F.broadcast(above) if limit is not None else above, "segment_hash")
-    found = joined.select("file_path", "start_line", "end_line", F.col("content").alias("code_chunk"), "score", "segment_hash")
-    return found.orderBy(F.desc("score"), "segment_hash")
+    return with_contents(scored.where(F.col("score") > min_score), chunks, limit is not None)
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

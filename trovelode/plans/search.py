@@ -139,7 +139,8 @@ def flt_debug_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT {_debug} FROM {_chunks} WHERE starts_with(file_path, '{PREFIX}') ORDER BY file_path, start_line NULLS FIRST, segment_hash LIMIT 1000",
 )
 def c1_list_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.list_chunks(chunks(spark, sf_dir), PREFIX, 5000)
+    under = table(spark, sf_dir, "chunks").where(paths.under(F.col("file_path"), PREFIX))
+    return listing.list_chunks(listing.current_chunks(under), PREFIX, 5000)
 
 
 @query(
@@ -374,12 +375,12 @@ def _windows(query: str) -> str:
 
 @query("g2_grep_content", _windows(GREP_QUERY))
 def g2_grep_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.content_windows(files(spark, sf_dir), GREP_QUERY)
+    return grep.content_windows(table(spark, sf_dir, "files"), GREP_QUERY)
 
 
 @query("g2_grep_cased", _windows("TODO"))
 def g2_grep_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.content_windows(files(spark, sf_dir), "TODO")
+    return grep.content_windows(table(spark, sf_dir, "files"), "TODO")
 
 
 @query(
@@ -390,7 +391,7 @@ def g2_grep_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def g2_grep_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grep.content_windows(files(spark, sf_dir), "get[a-z]+\\(", context=0, regex=True)
+    found = grep.content_windows(table(spark, sf_dir, "files"), "get[a-z]+\\(", context=0, regex=True)
     return found.groupBy("file_path").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
 
 
@@ -403,7 +404,7 @@ _names = f"""
 
 @query("g3_grep_names", _names.format(NAME_QUERY))
 def g3_grep_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.name_matches(files(spark, sf_dir), NAME_QUERY)
+    return grep.name_matches(table(spark, sf_dir, "files"), NAME_QUERY)
 
 
 def _grep(query: str, where: str = "true") -> str:
@@ -417,12 +418,12 @@ def _grep(query: str, where: str = "true") -> str:
 
 @query("g1_grep_all", _grep(NAME_QUERY))
 def g1_grep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.grep(files(spark, sf_dir), NAME_QUERY, limit=None)
+    return grep.grep(table(spark, sf_dir, "files"), NAME_QUERY, limit=None)
 
 
 @query("l6_grep_top", f"SELECT * FROM ({_grep(NAME_QUERY)}) ORDER BY score DESC, file_path, start_line LIMIT 20")
 def l6_grep_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.grep(files(spark, sf_dir), NAME_QUERY)
+    return grep.grep(table(spark, sf_dir, "files"), NAME_QUERY)
 
 
 # Full text
@@ -441,7 +442,7 @@ _tokens = r"regexp_extract_all(lower(content), '[\p{L}\p{N}]+')"
     """,
 )
 def t1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fulltext.postings(chunks(spark, sf_dir))
+    found = fulltext.postings(table(spark, sf_dir, "chunks").where("segment_hash is not null"))
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
@@ -483,12 +484,12 @@ def _bm25(query: str) -> str:
 
 @query("t2_fulltext_all", _bm25(TEXT_QUERY))
 def t2_fulltext_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(chunks(spark, sf_dir), TEXT_QUERY, limit=None)
+    return fulltext.search(table(spark, sf_dir, "chunks").where("segment_hash is not null"), TEXT_QUERY, limit=None)
 
 
 @query("t2_fulltext_top", f"SELECT * FROM ({_bm25(TEXT_QUERY)}) WHERE starts_with(file_path, '{PREFIX}') ORDER BY score DESC, segment_hash LIMIT 20")
 def t2_fulltext_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.search(chunks(spark, sf_dir), TEXT_QUERY, PREFIX)
+    return fulltext.search(table(spark, sf_dir, "chunks").where("segment_hash is not null"), TEXT_QUERY, PREFIX)
 
 
 # Vectors
@@ -510,12 +511,12 @@ def _vector(limit: int, where: str = "true") -> str:
 
 @query("v1_vector_top", _vector(20))
 def v1_vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.search(chunks(spark, sf_dir), table(spark, sf_dir, "vectors"), QUERY_VECTOR)
+    return vector.search(table(spark, sf_dir, "chunks").where("segment_hash is not null"), table(spark, sf_dir, "vectors"), QUERY_VECTOR)
 
 
 @query("v1_vector_prefix", _vector(20, f"starts_with(file_path, '{PREFIX}')"))
 def v1_vector_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.search(chunks(spark, sf_dir), table(spark, sf_dir, "vectors"), QUERY_VECTOR, PREFIX)
+    return vector.search(table(spark, sf_dir, "chunks").where("segment_hash is not null"), table(spark, sf_dir, "vectors"), QUERY_VECTOR, PREFIX)
 
 
 @query(
@@ -589,7 +590,7 @@ def _hybrid(channels: list[tuple[str, float, str]]) -> str:
     _hybrid([(_vector(60), 1.0, "segment_hash"), (_bm25(TEXT_QUERY), 0.5, "segment_hash"), (_grep(TEXT_QUERY), 0.5, "file_path, start_line")]),
 )
 def h1_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.hybrid(files(spark, sf_dir), chunks(spark, sf_dir), table(spark, sf_dir, "vectors"), TEXT_QUERY, QUERY_VECTOR)
+    return fusion.hybrid(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "vectors"), TEXT_QUERY, QUERY_VECTOR)
 
 
 _ONE_WORD = "tariff"
@@ -600,9 +601,9 @@ _ONE_WORD = "tariff"
     _hybrid([(_vector(60), 1.0, "segment_hash"), (_bm25(_ONE_WORD), 0.5, "segment_hash"), (_grep(_ONE_WORD), 0.5, "file_path, start_line")]),
 )
 def h1_hybrid_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.hybrid(files(spark, sf_dir), chunks(spark, sf_dir), table(spark, sf_dir, "vectors"), _ONE_WORD, QUERY_VECTOR)
+    return fusion.hybrid(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "vectors"), _ONE_WORD, QUERY_VECTOR)
 
 
 @query("h2_store_hybrid", _hybrid([(_vector(60), 1.0, "segment_hash"), (_bm25(TEXT_QUERY), 1.0, "segment_hash")]))
 def h2_store_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.store_hybrid(chunks(spark, sf_dir), table(spark, sf_dir, "vectors"), TEXT_QUERY, QUERY_VECTOR)
+    return fusion.store_hybrid(table(spark, sf_dir, "chunks").where("segment_hash is not null"), table(spark, sf_dir, "vectors"), TEXT_QUERY, QUERY_VECTOR)

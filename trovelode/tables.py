@@ -19,6 +19,8 @@ def spread(df: DataFrame) -> DataFrame:
     A table of one small file is read as one task, which would leave a CPU-bound Python stage on one core. Large tables
     have enough splits and pass unchanged, so no shuffle is added where data are big.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -46,3 +48,10 @@ def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(F.col(at).isNotNull(), F.col(at), *[F.col(c) for c in rest])
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
+
+
+def latest_if_delivered(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """:func:`latest` for tables that have a delivery time, without it; others, such as an index, have each key once."""
+    if at not in df.columns:
+        return df
+    return latest(df, keys, at).drop(at)
