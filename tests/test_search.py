@@ -117,3 +117,15 @@ def test_embedding_keeps_null_texts(spark):
     df = spark.createDataFrame([("a", "some words"), ("b", None), ("c", "")], "segment_hash string, content string")
     got = {r["id"]: r["vector"] for r in embed_column(df, HashEmbedder(5)).collect()}
     assert got["b"] is None and got["c"] == [0.0] * 5 and abs(sum(x * x for x in got["a"]) - 1) < 1e-6
+
+
+def test_numbers_of_a_hot_group(spark):
+    from trovelode.tables import numbered
+
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", None]), f"{rng.random():.9f}") for _ in range(3000)]
+    got = numbered(spark.createDataFrame(rows, "g string, x string").repartition(5), "g", ["x"]).collect()
+    for group in ("hot", "a", None):
+        own = sorted((r["n"], r["x"]) for r in got if r["g"] == group)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [x for _, x in own] == sorted(x for _, x in own)
+    assert len(got) == 3000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trovelode import config
 from trovelode.functions.paths import under
 from trovelode.functions.text import blank_as_null, utf16_length
-from trovelode.tables import latest
+from trovelode.tables import latest, numbered
 
 
 def current_chunks(chunks: DataFrame) -> DataFrame:
@@ -45,8 +45,8 @@ def filter_names(files: DataFrame, text: str) -> DataFrame:
 def pages(chunks: DataFrame, size: int = 50) -> DataFrame:
     """(workspace, file_path, page, place): indexed files of each workspace in pages, from 1."""
     paths = chunks.where("file_path is not null and file_path != ''").select("workspace", "file_path").distinct()
-    n = F.row_number().over(Window.partitionBy("workspace").orderBy("file_path")) - 1
-    return paths.withColumn("n", n).select(
+    rows = numbered(paths, "workspace", ["file_path"]).withColumn("n", F.col("n") - 1)
+    return rows.select(
         "workspace", "file_path", (F.floor(F.col("n") / size) + 1).cast("int").alias("page"), (F.col("n") % size + 1).cast("int").alias("place")
     )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,20 @@ def latest_if_delivered(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     if at not in df.columns:
         return df
     return latest(df, keys, at).drop(at)
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str = "n") -> DataFrame:
+    """``df`` with a number from 1 in each group, in the given order, also where one group has most of the rows.
+
+    Rows are sorted over the whole cluster by range, counted in each range, and numbered within it from where the ranges
+    before end. No task has more than its range, however large the group is. A null group is a group.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in (group, *order)]).withColumn("_range", F.spark_partition_id())
+    ranged = checkpointed(ranged)  # the borders of the ranges come from a sample and must be the same below
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "_range").count()
+    starts = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    same = [F.equal_null(F.col(group), F.col("_group")), F.col("_range") == F.col("_of")]
+    joined = ranged.withColumn("_within", within).join(starts, reduce(lambda a, b: a & b, same))
+    return joined.withColumn(name, F.col("_start") + F.col("_within")).select(*df.columns, name)
