@@ -34,17 +34,18 @@ def _lines(content: Column) -> Column:
     return F.when(content.endswith("\n"), F.slice(every, 1, F.size(every) - 1)).otherwise(every)
 
 
-def content_windows(files: DataFrame, query: str, context: int = config.GREP_CONTEXT_LINES, regex: bool = False) -> DataFrame:
-    """(file_path, start_line, end_line, code_chunk, score 1.0): matching lines with their context, touching ones merged.
-
-    A blank query has no results; null contents have none.
-    """
+def _per_file(files: DataFrame, query: str, context: int, regex: bool, names: bool) -> DataFrame:
+    """(path, found array of (start_line, end_line, code_chunk, score)): windows of matching lines or, with ``names``, for a
+    file without any whose path has the text, its preview."""
+    kept = [c for c in files.columns if c == "scanned_at"]
     content = F.col("content")
+    # Lines are only split where the text is somewhere. They are a column of their own, so each file is split once.
+    split = _lines(content) if regex else F.when(_matches(content, query, False), _lines(content))
+    first = F.when(F.contains(F.lower("path"), F.lit(query.lower())), lines_of(content)) if names else F.lit(None).cast("array<string>")
     chosen = files.where(F.col("path").isNotNull() & F.lit(bool(query.strip())))
-    every = _lines(content)
+    chosen = chosen.select("path", *kept, split.alias("lines"), first.alias("first"))
+    every = F.col("lines")
     hits = F.filter(F.transform(every, lambda text, i: F.when(_matches(text, query, regex), i + 1)), lambda n: n.isNotNull())
-    if not regex:  # lines are only split where the text is somewhere
-        hits = F.when(_matches(content, query, False), hits)
     size = F.size(every)
 
     def merged(ranges: Column, n: Column) -> Column:
@@ -54,20 +55,31 @@ def content_windows(files: DataFrame, query: str, context: int = config.GREP_CON
         apart = F.concat(ranges, F.array(F.struct(low.alias("a"), high.alias("b"))))
         return F.when(last["b"] + 1 >= low, joined).otherwise(apart)
 
+    def result(start: Column, end: Column, code: Column, score: float) -> Column:
+        return F.struct(start.alias("start_line"), end.alias("end_line"), code.alias("code_chunk"), F.lit(score).alias("score"))
+
     start = F.array(F.struct(F.lit(-10).alias("a"), F.lit(-10).alias("b")))
     ranges = F.filter(F.aggregate(hits, start, merged), lambda r: r["a"] > 0)
     windows = F.transform(
-        ranges,
-        lambda r: F.struct(
-            r["a"].alias("start_line"), r["b"].alias("end_line"), F.array_join(F.slice(every, r["a"], r["b"] - r["a"] + 1), "\n").alias("code_chunk")
-        ),
-    )
-    # A file that was delivered again is judged by its last delivery; what travels for that are the windows, not contents.
-    kept = [c for c in files.columns if c == "scanned_at"]
-    found = latest_if_delivered(chosen.select("path", *kept, windows.alias("windows")), ["path"], "scanned_at")
-    return found.select(F.col("path").alias("file_path"), F.explode("windows").alias("w")).select(
-        "file_path", "w.start_line", "w.end_line", "w.code_chunk", F.lit(config.CONTENT_SCORE).alias("score")
+        ranges, lambda r: result(r["a"], r["b"], F.array_join(F.slice(every, r["a"], r["b"] - r["a"] + 1), "\n"), config.CONTENT_SCORE)
     )
+    n = config.PREVIEW_LINES
+    named = F.array(result(F.lit(1), F.least(F.lit(n), F.size("first")), F.array_join(F.slice("first", 1, n), "\n"), config.FILE_NAME_SCORE))
+    found = F.when(F.size(windows) > 0, windows).when(F.col("first").isNotNull(), named)
+    # A file that was delivered again is judged by its last delivery; what travels for that are the results, not contents.
+    return latest_if_delivered(chosen.select("path", *kept, found.alias("found")), ["path"], "scanned_at")
+
+
+def _exploded(found: DataFrame) -> DataFrame:
+    return found.select(F.col("path").alias("file_path"), F.explode("found").alias("r")).select("file_path", "r.*")
+
+
+def content_windows(files: DataFrame, query: str, context: int = config.GREP_CONTEXT_LINES, regex: bool = False) -> DataFrame:
+    """(file_path, start_line, end_line, code_chunk, score 1.0): matching lines with their context, touching ones merged.
+
+    A blank query has no results; null contents have none.
+    """
+    return _exploded(_per_file(files, query, context, regex, False))
 
 
 def preview(files: DataFrame, n: int = config.PREVIEW_LINES) -> DataFrame:
@@ -101,13 +113,12 @@ def grep(
 ) -> DataFrame:
     """Content results, then file-name results of files without any; in order of path and line, at most ``limit``.
 
+    Both come from one pass over the files, so no join has to tell which files had content results.
+
     ``path_prefix`` is a path here: it takes the file or all files of the directory.
     """
     if path_prefix:
         whole = path_prefix.rstrip("/")
         files = files.where((F.col("path") == whole) | F.col("path").startswith(whole + "/"))
-    content = content_windows(files, query, context, regex)
-    names = name_matches(files, query)
-    both = content.unionByName(names.join(content.select("file_path").distinct(), "file_path", "left_anti").select(*content.columns))
-    ordered = both.orderBy(F.desc("score"), "file_path", "start_line")
+    ordered = _exploded(_per_file(files, query, context, regex, True)).orderBy(F.desc("score"), "file_path", "start_line")
     return ordered if limit is None else ordered.limit(limit)

@@ -11,14 +11,17 @@ from trovelode.functions.text import blank_as_null, utf16_length
 from trovelode.tables import latest, numbered
 
 
-def current_chunks(chunks: DataFrame) -> DataFrame:
-    """Each chunk once, as last delivered; chunks without ``segment_hash`` are left out."""
-    return latest(chunks.where("segment_hash is not null"), ["segment_hash"], "indexed_at")
+def current_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
+    """Each chunk once, as last delivered; chunks without ``segment_hash`` are left out. ``columns``: the ones to read
+    besides the key; all if none are named."""
+    chosen = chunks.select("segment_hash", "indexed_at", *columns) if columns else chunks
+    return latest(chosen.where("segment_hash is not null"), ["segment_hash"], "indexed_at")
 
 
-def current_files(files: DataFrame) -> DataFrame:
-    """Each file once, as last delivered; files without path are left out."""
-    return latest(files.where("path is not null"), ["path"], "scanned_at")
+def current_files(files: DataFrame, *columns: str) -> DataFrame:
+    """Each file once, as last delivered; files without path are left out. ``columns`` as in :func:`current_chunks`."""
+    chosen = files.select("path", "scanned_at", *columns) if columns else files
+    return latest(chosen.where("path is not null"), ["path"], "scanned_at")
 
 
 def list_chunks(chunks: DataFrame, path: str | None = None, limit: int = 50) -> DataFrame:

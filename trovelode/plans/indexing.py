@@ -11,11 +11,11 @@ from trovelode.sources.embed import HashEmbedder, embed_column
 
 
 def k1_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_files(files(spark, sf_dir), structured=False)
+    return chunking.chunk_files(files(spark, sf_dir, "content"), structured=False)
 
 
 def k6_structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_files(files(spark, sf_dir))
+    return chunking.chunk_files(files(spark, sf_dir, "content"))
 
 
 def k6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def k6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sc10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_column(files(spark, sf_dir), HashEmbedder(12), "path", "content").withColumnRenamed("id", "path")
+    return embed_column(files(spark, sf_dir, "content"), HashEmbedder(12), "path", "content").withColumnRenamed("id", "path")
 
 
 QUERIES = {

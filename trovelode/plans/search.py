@@ -39,12 +39,12 @@ _utf16 = r"(length({0}) + length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}
 _extension = r"nullif(regexp_extract(lower({0}), '[^/]\.([^./]+)$', 1), '')"
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.current_chunks(table(spark, sf_dir, "chunks"))
+def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return listing.current_chunks(table(spark, sf_dir, "chunks"), *columns)
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.current_files(table(spark, sf_dir, "files"))
+def files(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return listing.current_files(table(spark, sf_dir, "files"), *columns)
 
 
 # Scans and files
@@ -70,7 +70,7 @@ def sc1_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM {_files} WHERE strlen(content) <= {config.MAX_FILE_SIZE_BYTES}",
 )
 def sc4_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = files(spark, sf_dir).select("path", F.octet_length("content").cast("long").alias("n_bytes"))
+    sized = files(spark, sf_dir, "content").select("path", F.octet_length("content").cast("long").alias("n_bytes"))
     return sized.where(F.col("n_bytes") <= config.MAX_FILE_SIZE_BYTES)
 
 
@@ -83,7 +83,7 @@ def sc4_size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def sc6_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.preview(files(spark, sf_dir))
+    return grep.preview(files(spark, sf_dir, "content"))
 
 
 _lines = f"""
@@ -96,7 +96,7 @@ _lines = f"""
 
 @query("sc9_lines", f"SELECT path, CAST(line_no AS INTEGER) AS line_no, text FROM ({_lines})")
 def sc9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.lines(files(spark, sf_dir))
+    return grep.lines(files(spark, sf_dir, "content"))
 
 
 @query("sc8_list_files", "SELECT DISTINCT file_path FROM chunks WHERE file_path IS NOT NULL AND file_path <> ''")
@@ -109,7 +109,7 @@ def sc8_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt_path_equal", f"SELECT segment_hash, file_path FROM {_chunks} WHERE file_path = (SELECT min(file_path) FROM chunks)")
 def flt_path_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = chunks(spark, sf_dir)
+    own = chunks(spark, sf_dir, "file_path")
     wanted = table(spark, sf_dir, "chunks").agg(F.min("file_path")).first()[0] or ""
     return own.where(paths.under(F.col("file_path"), wanted)).select("segment_hash", "file_path")
 
@@ -117,7 +117,7 @@ def flt_path_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flt_path_prefix", f"SELECT segment_hash, file_path FROM {_chunks} WHERE starts_with(file_path, '{PREFIX}')")
 def flt_path_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "chunks").where(paths.under(F.col("file_path"), PREFIX))
-    return listing.current_chunks(own).select("segment_hash", "file_path")
+    return listing.current_chunks(own, "file_path").select("segment_hash", "file_path")
 
 
 @query("flt_file_names", f"SELECT DISTINCT path FROM files WHERE contains(lower(path), '{NAME_QUERY}')")
@@ -131,7 +131,7 @@ _debug = f"""segment_hash, file_path, start_line, end_line, CAST({_utf16.format(
 
 @query("flt_debug_chunks", f"SELECT {_debug} FROM {_chunks}")
 def flt_debug_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.debug_rows(chunks(spark, sf_dir))
+    return listing.debug_rows(chunks(spark, sf_dir, "file_path", "start_line", "end_line", "content", "symbol", "parent_scope", "kind"))
 
 
 @query(
@@ -140,7 +140,8 @@ def flt_debug_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def c1_list_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     under = table(spark, sf_dir, "chunks").where(paths.under(F.col("file_path"), PREFIX))
-    return listing.list_chunks(listing.current_chunks(under), PREFIX, 5000)
+    columns = "file_path", "start_line", "end_line", "content", "symbol", "parent_scope", "kind"
+    return listing.list_chunks(listing.current_chunks(under, *columns), PREFIX, 5000)
 
 
 @query(
@@ -208,7 +209,7 @@ _current = f"(SELECT path, file_hash FROM {_files})"
 
 @query("j1_manifest_diff", _diff(_branch("main"), _current))
 def j1_manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff(diff.branch_state(table(spark, sf_dir, "manifest"), "main"), files(spark, sf_dir).select("path", "file_hash"))
+    return diff.diff(diff.branch_state(table(spark, sf_dir, "manifest"), "main"), files(spark, sf_dir, "file_hash").select("path", "file_hash"))
 
 
 @query("u3_deleted_paths", f"SELECT path FROM ({_diff(_branch('main'), _current)}) WHERE status = 'deleted'")
@@ -268,7 +269,7 @@ def sk7_branch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k14_file_hash", f"SELECT path, sha256(content) AS file_hash FROM {_files}")
 def k14_file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("path", hashing.file_hash(F.col("content")).alias("file_hash"))
+    return files(spark, sf_dir, "content").select("path", hashing.file_hash(F.col("content")).alias("file_hash"))
 
 
 @query(
@@ -280,7 +281,7 @@ def k14_file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def k14_segment_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     computed = hashing.segment_hash(*(F.col(c) for c in ("file_path", "start_line", "end_line", "content")))
-    return chunks(spark, sf_dir).select("segment_hash", computed.alias("computed"))
+    return chunks(spark, sf_dir, "file_path", "start_line", "end_line", "content").select("segment_hash", computed.alias("computed"))
 
 
 _alias = " ".join(f"WHEN {_extension.format('path')} = '{a}' THEN '{b}'" for a, b in config.ALIASES.items())
@@ -325,7 +326,7 @@ def k7_capture_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def w4_gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.gap_ranges(chunks(spark, sf_dir))
+    return listing.gap_ranges(chunks(spark, sf_dir, "file_path", "start_line", "end_line"))
 
 
 _ranges = f"(SELECT * FROM {_chunks} WHERE start_line > 0 AND end_line >= start_line AND file_path IS NOT NULL)"
@@ -340,7 +341,7 @@ _ranges = f"(SELECT * FROM {_chunks} WHERE start_line > 0 AND end_line >= start_
     """,
 )
 def j7_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.contained(chunks(spark, sf_dir))
+    return listing.contained(chunks(spark, sf_dir, "file_path", "start_line", "end_line"))
 
 
 @query(
@@ -353,7 +354,7 @@ def j7_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def j6_inner_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.inner_symbols(chunks(spark, sf_dir))
+    return listing.inner_symbols(chunks(spark, sf_dir, "file_path", "start_line", "end_line", "symbol", "kind"))
 
 
 # Grep
@@ -455,7 +456,7 @@ def t1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def a7_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.corpus_stats(chunks(spark, sf_dir))
+    return fulltext.corpus_stats(chunks(spark, sf_dir, "content"))
 
 
 @query(
@@ -463,7 +464,7 @@ def a7_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_tokens})) AS term FROM {_chunks} WHERE content IS NOT NULL) GROUP BY term",
 )
 def a7_document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.document_frequencies(chunks(spark, sf_dir))
+    return fulltext.document_frequencies(chunks(spark, sf_dir, "content"))
 
 
 def _bm25(query: str) -> str:

@@ -43,12 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     """One row for each value of ``keys``: the last delivered. Repeated deliveries differ in ``at`` alone.
 
-    ``max_by`` combines before the shuffle, so that a key with very many deliveries is no hot group. Rows whose ``at`` is
-    null count as delivered first. Rows with a null key are one group.
+    The maximum combines before the shuffle, so that a key with very many deliveries is no hot group. Rows whose ``at`` is
+    null count as delivered first; of rows delivered at once the greater counts. Rows with a null key are one group.
     """
-    rest = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(at).isNotNull(), F.col(at), *[F.col(c) for c in rest])
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
+    rest = [c for c in df.columns if c not in keys and c != at]
+    last = F.max(F.struct(F.col(at).isNotNull().alias("_known"), F.col(at), *[F.col(c) for c in rest])).alias("_last")
+    own = {c: F.col(c) if c in keys else F.col(f"_last.{c}") for c in df.columns}
+    return df.groupBy(*keys).agg(last).select(*own.values())
 
 
 def latest_if_delivered(df: DataFrame, keys: list[str], at: str) -> DataFrame:
