@@ -30,12 +30,15 @@ def query_terms(query: str) -> list[str]:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, segment_hash, tf, positions array from 0): the inverted index. Keyed by term and chunk, so that a term in
-    very many chunks is no large group. Positions are a set, so a chunk delivered again changes nothing."""
+    """(term, segment_hash, tf, positions array from 0): the inverted index of chunks, each given once.
+
+    Keyed by term and chunk, so that a term in very many chunks is no large group. Where the chunks are already spread by
+    ``segment_hash``, as after removing repeated deliveries, this takes no shuffle of its own.
+    """
     words = chunks.where("content is not null").select("segment_hash", F.posexplode(tokens(F.col("content"))).alias("position", "term"))
     return words.groupBy("term", "segment_hash").agg(
-        F.array_sort(F.collect_set("position")).alias("positions")
-    ).select("term", "segment_hash", F.size("positions").cast("long").alias("tf"), "positions")
+        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")
+    )
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:

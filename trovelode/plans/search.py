@@ -443,7 +443,7 @@ _tokens = r"regexp_extract_all(lower(content), '[\p{L}\p{N}]+')"
     """,
 )
 def t1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fulltext.postings(table(spark, sf_dir, "chunks").where("segment_hash is not null"))
+    found = fulltext.postings(chunks(spark, sf_dir, "content"))
     return found.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
