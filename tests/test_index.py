@@ -136,7 +136,7 @@ def test_store_without_index(spark, tmp_path):
 
 def test_index_location():
     assert scan.index_location("/w", "/shared", "git@example.invalid:a/b.git").startswith("/shared/") and len(scan.index_location("/w", "/shared", "x")) == len("/shared/") + 16
-    assert scan.index_location("/w").endswith("/.codebase-indexer")
+    assert scan.index_location("/w").endswith("/.trovelode")
 
 
 def test_stream_upserts(spark, tmp_path, data):

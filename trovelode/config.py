@@ -18,7 +18,7 @@ EMBEDDING_BATCH = 32
 EMBEDDING_DIMENSIONS = 1536
 DEFAULT_LIMIT = 20
 DEFAULT_MIN_SCORE = 0.3
-INDEX_DIRECTORY = ".codebase-indexer"
+INDEX_DIRECTORY = ".trovelode"
 RRF_K = 60
 GREP_CONTEXT_LINES = 2
 PREVIEW_LINES = 30

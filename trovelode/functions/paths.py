@@ -31,7 +31,7 @@ def is_scanned(path: Column) -> Column:
     """Whether a file belongs to an index: its extension or name is known and no directory or name of it is ignored."""
     directories = F.slice(F.split(path, "/"), 1, F.greatest(F.lit(0), F.size(F.split(path, "/")) - 1))
     name = file_name(path)
-    ignored = F.arrays_overlap(directories, F.array(*map(F.lit, config.IGNORED_DIRECTORIES))) | name.isin(config.IGNORED_FILES)
+    ignored = F.arrays_overlap(directories, F.array(*map(F.lit, [*config.IGNORED_DIRECTORIES, config.INDEX_DIRECTORY]))) | name.isin(config.IGNORED_FILES)
     known = F.coalesce(extension(path).isin(config.EXTENSIONS), F.lit(False)) | name.isin(config.FILE_NAMES)
     return F.coalesce(known & ~F.coalesce(ignored, F.lit(False)), F.lit(False))
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trovelode import config
 
 
 @dataclass(frozen=True)
@@ -106,7 +105,3 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
     for rule in rules:
         decision = F.when(path.rlike(rule.expression), F.lit(not rule.negated)).otherwise(decision)
     return decision
-
-
-def default_directories() -> set[str]:
-    return set(config.IGNORED_DIRECTORIES)

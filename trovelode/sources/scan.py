@@ -55,11 +55,11 @@ def tree_rules(root: str, git_semantics: bool = False) -> list[ignore.Rule]:
         for entry in entries:
             if entry.is_symlink():
                 continue
-            if entry.is_dir() and entry.name not in config.IGNORED_DIRECTORIES:
+            if entry.is_dir() and entry.name not in (*config.IGNORED_DIRECTORIES, config.INDEX_DIRECTORY):
                 open_.append(entry)
             elif entry.name == ".gitignore" and directory != base:
                 below[directory.relative_to(base).as_posix()] = text(entry)
-    own = text(base / config.INDEX_DIRECTORY / "codebase-indexer.ignore")
+    own = text(base / config.INDEX_DIRECTORY / "own.ignore")
     return ignore.load_rules(text(base / ".gitignore"), own, below, git_semantics)
 
 
