@@ -19,7 +19,7 @@ FONT = "@font-face {\n  src: url(data:font/woff2;base64," + "".join(RNG.choice("
         ("w/src/a.py", "# <auto-generated>\n#  Produced by x\n# </auto-generated>\nx = 1\n"), ("w/src/a.rs", "// This file was automatically generated from a/b.idl.\n" + CODE),
         ("w/src/a.go", "// Generated from a.yaml on 2021-02-03\npackage a\n"), ("w/a.md", "<!-- auto-generated Produced by x, version 9 /auto-generated -->\n\n# T\n"),
         ("w/src/a.c", "// Dieses Modul wird vom Werkzeug x erzeugt und bei jedem Lauf überschrieben.\n" + CODE), ("w/a.json", '{\n  "//": "Generated from a.idl on 2022-09-28",\n  "b": 1\n}\n'),
-        ("w/src/gen/a.rs", CODE), ("w/src/a_pb2.py", "x = 1\n"), ("w/src/AOuterClass.java", CODE), ("w/src/third_party/a-1.2/b.js", CODE), ("w/src/lib/ext/a/b.js", CODE),
+        ("w/b.json", '{\n  "_comment": "Autogenerated by x-codegen source: a.yaml",\n  "b": 1\n}\n'), ("w/src/gen/a.rs", CODE), ("w/src/a_pb2.py", "x = 1\n"), ("w/src/AOuterClass.java", CODE), ("w/src/third_party/a-1.2/b.js", CODE), ("w/src/lib/ext/a/b.js", CODE),
         ("w/src/a.js", "/*! x v1.2.3 | (c) the x contributors | MIT */\n" + CODE), ("w/src/a.js", "// Vendored from x 1.2, do not patch here.\n" + CODE),
         ("w/src/a.js", "// upstream: https://x.invalid/y\n// local modifications: none\n" + CODE), ("w/src/a.ts", NUMBERS), ("w/src/a.js", MINIFIED), ("w/src/a.yaml", LOCK), ("w/src/a.css", FONT),
         ("w/src/d.sql", "".join(f"INSERT INTO t VALUES ({i}, 'x', 1.5);\n" for i in range(30))),
@@ -38,7 +38,7 @@ def test_cases(path, text):
         ("w/src/a.ts", "// Minified output of the x is written to y z.\n" + CODE), ("w/src/a.ts", "// Copyright (c) the w maintainers\n" + CODE),
         ("w/a.toml", "[a]\nchecksum = \"ab12\"\nb = 1\nc = 2\nd = 3\ne = 4\n"), ("w/a.md", "# Vendored code\n\nThis page tells how code generated by tools is kept. " * 30),
         ("w/src/t.ts", "const T = [\n" + "".join(f"  [{i}, {i}.5, {i + 1}, {i + 2}], // why {i}\n" for i in range(14)) + "];\n" + CODE),
-        ("w/src/long.ts", CODE + "const s = '" + "plain prose in a string that goes on and on " * 200 + "';\n"), ("w/.env", "A=1\nB=2\n"),
+        ("w/src/long.ts", CODE + "const s = '" + "plain prose in a string that goes on and on " * 200 + "';\n"), ("w/.env", "A=1\nB=2\n"), ("w/.env.x", "A=1\nK=\"-----BEGIN PRIVATE KEY-----\n" + "\n".join("Ab3/" * 16 for _ in range(25)) + "\n-----END PRIVATE KEY-----\"\n"),
     ],
 )
 def test_hand_written(path, text):

@@ -83,6 +83,8 @@ _DATA = re.compile(
 )
 _ENCODED = re.compile(r"(?:data:[\w/+.-]+;base64,)?[A-Za-z0-9+/]{200,}={0,2}|\b(?:[0-9a-f]{2}[\s,:]*){100,}\b")
 _COMMENT = re.compile(r"""^\s*(//|\#(?!\[|include|define|if|endif|pragma)|/\*|\*|--|<!--|;|"_?comment"\s*:|"//"\s*:|"{3}|'{3}|%)""")
+_MEMBER = re.compile(r"""^"(?:_?comment|//)"\s*:\s*""")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----", re.S)
 _CODE_NAMES = re.compile(r"[A-Za-z_$][\w$]*")
 
 
@@ -92,7 +94,7 @@ def header(text: str) -> list[str]:
     for line in text.lstrip("﻿").splitlines()[:40]:
         bare = line.strip()
         if block or _COMMENT.match(bare):
-            lines.append(bare)
+            lines.append(_MEMBER.sub("", bare))
             if bare.startswith("/*") or bare.startswith("<!--"):
                 block = True
             if "*/" in bare or "-->" in bare:
@@ -132,8 +134,9 @@ def reasons(path: str, text: str) -> list[str]:
             found.append("resolved dependencies")
         if is_minified(text):
             found.append("minified")
-        data = sum(len(line) for line in lines if _DATA.match(line))
-        encoded = sum(map(len, _ENCODED.findall(text)))
+        rest = _KEY_BLOCK.sub("", text)  # a key in a configuration is no table
+        data = sum(len(line) for line in rest.splitlines() if _DATA.match(line))
+        encoded = sum(map(len, _ENCODED.findall(rest)))
         remarks = sum(1 for line in lines if _COMMENT.match(line) or re.search(r"\s(//|#|--)\s|/\*", line))
         if max(data, encoded) >= 0.6 * size and (encoded >= 1000 or len(lines) >= 12) and remarks <= 0.2 * len(lines):
             found.append("data")
