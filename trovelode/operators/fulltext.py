@@ -5,6 +5,7 @@ Tokens are runs of letters and digits of the lower-cased text, without stemming
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -59,9 +60,9 @@ def search(
 ) -> DataFrame:
     """(file_path, start_line, end_line, code_chunk, score, segment_hash): chunks with any term, by BM25.
 
-    Statistics come from the whole collection, the prefix (a plain string prefix) only restricts the results. Only the
-    terms of the query are counted, in the scan, and contents are fetched for the results alone. A query without terms has
-    no results.
+    Statistics come from the whole collection (one row, computed at once), the prefix (a plain string prefix) only restricts
+    the results. Only the terms of the query are counted, in the scan, and contents are fetched for the results alone. A
+    query without terms has no results.
     """
     terms = query_terms(query)
     k1, b = config.BM25_K1, config.BM25_B
@@ -72,18 +73,18 @@ def search(
     narrow = latest_if_delivered(
         words.select("segment_hash", "file_path", "start_line", "end_line", F.size("tokens").alias("length"), *tf, *kept), ["segment_hash"], "indexed_at"
     )
-    stats = narrow.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
-    )
+    frequencies = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
+    stats = narrow.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *frequencies).first()
     chosen = narrow.where(" + ".join(f"tf{i}" for i in range(len(terms))) + " > 0" if terms else "false")
     if path_prefix:
         chosen = chosen.where(F.col("file_path").startswith(path_prefix))
+    # The statistics are one row, so they go into the plan as literals and nothing has to be joined.
     score = F.lit(0.0)
     for i in range(len(terms)):
-        count = F.col(f"tf{i}")
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * count * (k1 + 1) / (count + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    scored = chosen.join(F.broadcast(stats)).select("segment_hash", F.round(score, 9).alias("score"))
+        count, holders = F.col(f"tf{i}"), stats[f"df{i}"]
+        idf = math.log(1 + (stats["n"] - holders + 0.5) / (holders + 0.5))
+        score = score + F.lit(idf) * count * (k1 + 1) / (count + k1 * (1 - b + b * F.col("length") / F.lit(stats["average"] or 1.0)))
+    scored = chosen.select("segment_hash", F.round(score, 9).alias("score"))
     if limit is not None:
         scored = scored.orderBy(F.desc("score"), "segment_hash").limit(limit)
     return with_contents(scored, chunks, limit is not None)
