@@ -32,4 +32,16 @@ SQL = {
         WHERE segment_hash IS NOT NULL
           AND length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 4024
     """,
+    "p4_found": r"""
+        WITH words AS (
+            SELECT segment_hash, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}_]+') AS w
+            FROM chunks WHERE segment_hash IS NOT NULL AND content IS NOT NULL GROUP BY segment_hash
+        ), runs AS (
+            SELECT DISTINCT segment_hash, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM words
+        ), sized AS (SELECT *, count(*) OVER (PARTITION BY segment_hash) AS n FROM runs)
+        SELECT a.segment_hash AS segment_hash_a, b.segment_hash AS segment_hash_b
+        FROM sized a JOIN sized b ON a.run = b.run AND a.segment_hash < b.segment_hash
+        GROUP BY a.segment_hash, b.segment_hash, a.n, b.n
+        HAVING count(*) >= 0.6 * (a.n + b.n - count(*))
+    """,
 }
