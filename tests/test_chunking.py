@@ -135,6 +135,8 @@ def test_large_class_gives_its_methods():
         ("a.sql", "CREATE TABLE t (\n a INT);\nCREATE FUNCTION f() AS 'x';\n", ["type", "function"]),
         ("a.css", ".a {\n  color: red;\n}\n@media print {\n  .b { color: blue; }\n}\n", ["fallback", "fallback"]),
         ("a.graphql", "type A {\n  b: Int\n}\nenum E {\n  X\n}\n", ["type", "enum"]),
+        ("a.vue", "<template>\n  <p>x</p>\n</template>\n<script>\nexport default {}\n</script>\n", ["module", "module"]),
+        ("a.html", "<div>\n  <p>x</p>\n</div>\n<br>\n", ["fallback", "fallback"]),
         ("a.xyz", "function f() {}\n", []),
     ],
 )

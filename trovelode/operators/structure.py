@@ -243,6 +243,21 @@ def _sections(lines: list[str], head: str, kind: str) -> list[Node]:
     return nodes
 
 
+def _markup(lines: list[str], names: str, kind: str) -> list[Node]:
+    """Elements that begin a line and end at the same indentation."""
+    nodes = []
+    for i, line in enumerate(lines):
+        m = re.match(rf"[ \t]*<({names})\b", line, re.I)
+        if not m:
+            continue
+        close = re.compile(rf"[ \t]*</{re.escape(m.group(1))}\s*>", re.I)
+        for j in range(i, len(lines)):
+            if (j > i and close.match(lines[j]) and _indent(lines[j]) == _indent(line)) or (j == i and f"</{m.group(1)}" in line):
+                nodes.append(Node(i, j, kind))
+                break
+    return nodes
+
+
 def _sql(lines: list[str]) -> list[Node]:
     kinds = {"table": "type", "view": "type", "type": "type", "index": "type", "trigger": "type", "sequence": "type", "function": "function", "procedure": "function", "schema": "namespace", "database": "module", "extension": "module"}
     nodes = []
@@ -296,6 +311,10 @@ def extract(path: str, content: str, lines: list[str]) -> list[Node]:
         nodes = _sections(lines, r"\[", "module")
     elif language == "yaml":
         nodes = _sections(lines, r"[\w\"'.-]+\s*:", "module")
+    elif language in ("vue", "svelte"):
+        nodes = _markup(lines, "script|template|style", "module")
+    elif language in ("html", "htm"):
+        nodes = _markup(lines, "[a-z][\\w-]*", "fallback")
     elif language == "sql":
         nodes = _sql(lines)
     else:
