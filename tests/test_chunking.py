@@ -149,3 +149,13 @@ def test_chunk_files_edge_rows(spark):
     found = chunking.chunk_files(spark.createDataFrame(rows, "path string, content string")).collect()
     assert [r["file_path"] for r in found] == ["c.ts"]
     assert chunking.chunk_files(spark.createDataFrame([], "path string, content string, extra int")).count() == 0
+
+
+@pytest.mark.parametrize("path, line", [("a.html", "<br>"), ("a.html", "<p>"), ("a.rb", "def f"), ("a.py", "def f():"), ("a.ts", "function f() {"), ("a.java", "{ /*"), ("a.c", "int f(int a"), ("a.md", "# x"), ("a.css", ".a {")])
+def test_time_is_about_linear_in_the_file(path, line):
+    import time
+
+    text = "\n".join([line] * (200_000 // (len(line) + 1)))
+    began = time.perf_counter()
+    chunk_file(path, text)
+    assert time.perf_counter() - began < 10

@@ -134,19 +134,17 @@ def chunk_lines(
 
 def _overlap_filter(nodes: list[Node], lines: list[str]) -> list[Node]:
     """Drops a node inside a larger one that fits the limit, and an oversized node that has another inside."""
-    size = {id(n): units("\n".join(lines[n.start : n.end + 1])) for n in nodes}
-
-    def inside(a: Node, b: Node) -> bool:
-        return b.start <= a.start and b.end >= a.end and (b.start, b.end) != (a.start, a.end)
-
-    kept = []
-    for n in nodes:
-        if any(inside(n, o) and size[id(o)] <= config.CHUNK_LIMIT for o in nodes):
-            continue
-        if size[id(n)] > config.CHUNK_LIMIT and any(inside(o, n) for o in nodes):
-            continue
-        kept.append(n)
-    return kept
+    lengths = [0]
+    for line in lines:
+        lengths.append(lengths[-1] + units(line) + 1)
+    fits = lambda n: lengths[n.end + 1] - lengths[n.start] - 1 <= config.CHUNK_LIMIT
+    dropped, outer, order = set(), set(), []
+    for n, around in structure.with_ancestors(nodes):
+        order.append(n)
+        outer.update(id(o) for o in around)
+        if any(fits(o) for o in around):
+            dropped.add(id(n))
+    return [n for n in order if id(n) not in dropped and (fits(n) or id(n) not in outer)]
 
 
 def signature(lines: list[str], start: int, end: int) -> str:

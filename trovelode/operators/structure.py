@@ -45,22 +45,22 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (_S + r"type\s+" + _NAME + r"[^=\n]*=\s*(?=\{)", "type"),
         (_S + r"namespace\s+(?P<name>[\w.]+)", "namespace"),
         (_S + r"module\s+(?P<name>[\w.'\"]+)", "module"),
-        (_S + r"(?:const|let|var)\s+" + _NAME + r"[^=\n]*=\s*(?:async\s*)?(?:function\b|\([^;{}]*?\)\s*(?::[^=\n]+)?=>|\w+\s*=>)", "function"),
-        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"\s*(?:<[^>\n]*>)?\([^;{}]*\)\s*(?::[^;{=]+)?(?=\{)", "method"),
+        (_S + r"(?:const|let|var)\s+" + _NAME + r"[^=\n]*=\s*(?:async\s*)?(?:function\b|\([^;{}]{0,800}?\)\s*(?::[^=\n]+)?=>|\w+\s*=>)", "function"),
+        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"\s*(?:<[^>\n]*>)?\([^;{}]{0,800}\)\s*(?::[^;{=]+)?(?=\{)", "method"),
     ],
     "js": [
         (_S + r"function\*?\s+" + _NAME, "function"),
         (_S + r"class\s+" + _NAME, "class"),
-        (_S + r"(?:const|let|var)\s+" + _NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^;{}]*?\)\s*=>|\w+\s*=>)", "function"),
-        (r"^[ \t]*(?:[\w$]+\.)+" + _NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^;{}]*?\)\s*=>)", "function"),
-        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"\([^;{}]*\)\s*(?=\{)", "method"),
+        (_S + r"(?:const|let|var)\s+" + _NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^;{}]{0,800}?\)\s*=>|\w+\s*=>)", "function"),
+        (r"^[ \t]*(?:[\w$]+\.)+" + _NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^;{}]{0,800}?\)\s*=>)", "function"),
+        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"\([^;{}]{0,800}\)\s*(?=\{)", "method"),
     ],
     "java": [
         (_S + r"(?:class|record)\s+" + _NAME, "class"),
         (_S + r"@?interface\s+" + _NAME, "interface"),
         (_S + r"enum\s+" + _NAME, "enum"),
-        (_S + r"(?:<[^>\n]*>\s*)?[\w$.<>\[\],? ]+?\s+" + _NO + _NAME + r"\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)", "method"),
-        (r"^[ \t]*(?:public|private|protected)\s+" + _NAME + r"\s*\([^;{}]*\)\s*(?=\{)", "class"),
+        (_S + r"(?:<[^>\n]*>\s*)?[\w$.<>\[\],? ]{1,200}?\s+" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)", "method"),
+        (r"^[ \t]*(?:public|private|protected)\s+" + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "class"),
     ],
     "go": [
         (r"^func\s+" + _NAME, "function"),
@@ -69,27 +69,27 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
     ],
     "rs": [
         (_S + r"(?:const\s+)?fn\s+" + _NAME, "function"),
-        (_S + r"struct\s+" + _NAME + r"[^;{(]*(?=\{)", "class"),
+        (_S + r"struct\s+" + _NAME + r"[^;{(]{0,800}(?=\{)", "class"),
         (_S + r"enum\s+" + _NAME, "enum"),
-        (_S + r"impl\b[^{;]*(?=\{)", "fallback"),
+        (_S + r"impl\b[^{;]{0,800}(?=\{)", "fallback"),
         (_S + r"mod\s+" + _NAME + r"\s*(?=\{)", "fallback"),
     ],
     "c": [
         (r"^(?:typedef\s+)?struct\s+" + _NAME + r"\s*(?=\{)", "class"),
         (r"^(?:typedef\s+)?enum\s+" + _NAME + r"\s*(?=\{)", "enum"),
-        (r"^(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w\s*]*?[\s*]" + _NO + _NAME + r"\s*\([^;{}]*\)\s*(?=\{)", "function"),
+        (r"^(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w \t*]{0,200}?[ \t*]" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "function"),
     ],
     "cpp": [
         (r"^[ \t]*namespace\s+(?P<name>[\w:]+)", "namespace"),
-        (r"^[ \t]*(?:class|struct)\s+" + _NAME + r"[^;{(]*(?=\{)", "class"),
-        (r"^[ \t]*(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w:<>,\s*&]*?[\s*&]" + _NO + r"(?P<name>[\w:~]+)\s*\([^;{}]*\)[\w\s]*(?=\{)", "function"),
+        (r"^[ \t]*(?:class|struct)\s+" + _NAME + r"[^;{(]{0,800}(?=\{)", "class"),
+        (r"^[ \t]*(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w:<>, \t*&]{0,200}?[ \t*&]" + _NO + r"(?P<name>[\w:~]+)\s*\([^;{}]{0,800}\)[\w\s]*(?=\{)", "function"),
     ],
     "cs": [
         (_S + r"namespace\s+(?P<name>[\w.]+)\s*(?=\{)", "namespace"),
         (_S + r"(?:class|struct|record)\s+" + _NAME, "class"),
         (_S + r"interface\s+" + _NAME, "interface"),
         (_S + r"enum\s+" + _NAME, "enum"),
-        (_S + r"[\w.<>\[\],? ]+?\s+" + _NO + _NAME + r"\s*\([^;{}]*\)\s*(?=\{)", "method"),
+        (_S + r"[\w.<>\[\],? ]{1,200}?\s+" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "method"),
     ],
     "php": [
         (_S + r"class\s+" + _NAME, "class"),
@@ -100,9 +100,9 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (r"^[ \t]+(?:(?:public|private|protected|static|final)\s+)*function\s+&?" + _NAME, "method"),
     ],
     "kt": [
-        (_S + r"(?:class|object)\s+" + _NAME + r"[^={]*(?=\{)", "class"),
+        (_S + r"(?:class|object)\s+" + _NAME + r"[^={]{0,800}(?=\{)", "class"),
         (_S + r"interface\s+" + _NAME, "interface"),
-        (_S + r"fun\s+(?:<[^>\n]*>\s*)?(?:[\w<>]+\.)?" + _NAME + r"\s*\([^{}]*?\)[^={\n]*(?=\{)", "function"),
+        (_S + r"fun\s+(?:<[^>\n]*>\s*)?(?:[\w<>]+\.)?" + _NAME + r"\s*\([^{}]{0,800}?\)[^={\n]*(?=\{)", "function"),
     ],
     "swift": [
         (_S + r"(?:class|struct|actor)\s+" + _NAME, "class"),
@@ -112,7 +112,7 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (_S + r"func\s+" + _NAME, "function"),
     ],
     "scala": [
-        (_S + r"(?:case\s+)?(?:class|object)\s+" + _NAME + r"[^={]*(?=\{)", "class"),
+        (_S + r"(?:case\s+)?(?:class|object)\s+" + _NAME + r"[^={]{0,800}(?=\{)", "class"),
         (_S + r"trait\s+" + _NAME, "interface"),
         (_S + r"def\s+" + _NAME + r"[^={\n]*=?\s*(?=\{)", "function"),
     ],
@@ -121,10 +121,10 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (_S + r"(?:class|struct)\s+" + _NAME, "class"),
         (_S + r"interface\s+" + _NAME, "interface"),
         (_S + r"(?:enum|errordomain)\s+" + _NAME, "enum"),
-        (_S + r"[\w.<>\[\]?]+\s+" + _NO + _NAME + r"\s*\([^;{}]*\)\s*(?=\{)", "method"),
+        (_S + r"[\w.<>\[\]?]+\s+" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "method"),
     ],
-    "zig": [(_S + r"fn\s+" + _NAME, "function"), (_S + r"const\s+" + _NAME + r"\s*=\s*(?:struct|enum|union)[^{]*(?=\{)", "type")],
-    "css": [(r"^@media[^{;]*(?=\{)", "fallback"), (r"^@keyframes[^{;]*(?=\{)", "fallback"), (r"^[^\s@/}][^{};]*(?=\{)", "fallback")],
+    "zig": [(_S + r"fn\s+" + _NAME, "function"), (_S + r"const\s+" + _NAME + r"\s*=\s*(?:struct|enum|union)[^{]{0,800}(?=\{)", "type")],
+    "css": [(r"^@media[^{;]{0,800}(?=\{)", "fallback"), (r"^@keyframes[^{;]{0,800}(?=\{)", "fallback"), (r"^[^\s@/}][^{};]{0,800}(?=\{)", "fallback")],
     "sh": [(r"^[ \t]*(?:function\s+)?(?P<name>[\w:-]+)\s*\(\s*\)\s*(?=\{)", "function")],
     "graphql": [
         (r"^(?:extend\s+)?(?:type|input|union|scalar)\s+" + _NAME, "type"),
@@ -197,39 +197,50 @@ def _indent(line: str) -> int:
 
 def _python(lines: list[str]) -> list[Node]:
     head = re.compile(r"[ \t]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)")
+    nodes, open_, last, brackets = [], [], 0, 0
+    for i, line in enumerate(lines):
+        if not line.strip():
+            continue
+        depth = _indent(line)
+        while open_ and brackets <= 0 and depth <= open_[-1][0]:
+            nodes.append((*open_.pop(), last))
+        m = head.match(line) if brackets <= 0 else None
+        if m:
+            start, decorated = i, False
+            while start and lines[start - 1].lstrip().startswith("@") and _indent(lines[start - 1]) == depth:
+                start, decorated = start - 1, True
+            kind = "fallback" if decorated else "class" if m.group(1) == "class" else "function"
+            open_.append((depth, start, kind, m.group(2)))
+            brackets = 0
+        if m or brackets > 0:  # a head may go on over several lines
+            brackets += line.count("(") - line.count(")")
+        last = i
+    nodes += [(*block, last) for block in reversed(open_)]
+    return sorted((Node(start, end, kind, name) for _, start, kind, name, end in nodes), key=lambda n: (n.start, -n.end))
+
+
+def _paired(lines: list[str], head: re.Pattern, close: re.Pattern, make) -> list[Node]:
+    """Blocks from a line that ``head`` matches to the next one that ``close`` matches, of the same name (the group ``tag``
+    of both, if they have it) and indentation; each line is looked at once."""
+    open_: dict[tuple[str, int], list[tuple[int, re.Match]]] = {}
     nodes = []
     for i, line in enumerate(lines):
         m = head.match(line)
-        if not m:
-            continue
-        depth, end, open_ = _indent(line), i, line.count("(") - line.count(")")
-        for j in range(i + 1, len(lines)):
-            if lines[j].strip() and open_ <= 0 and _indent(lines[j]) <= depth:
-                break
-            open_ += lines[j].count("(") - lines[j].count(")") if open_ > 0 else 0
-            if lines[j].strip():
-                end = j
-        start, decorated = i, False
-        while start and lines[start - 1].lstrip().startswith("@") and _indent(lines[start - 1]) == depth:
-            start, decorated = start - 1, True
-        kind = "fallback" if decorated else "class" if m.group(1) == "class" else "function"
-        nodes.append(Node(start, end, kind, m.group(2)))
-    return nodes
+        if m:
+            open_.setdefault(((m.groupdict().get("tag") or "").lower(), _indent(line)), []).append((i, m))
+        m = close.search(line)
+        if m:
+            waiting = open_.get(((m.groupdict().get("tag") or "").lower(), _indent(line)))
+            if waiting:
+                start, opening = waiting.pop()
+                nodes.append(make(start, i, opening))
+    return sorted(nodes, key=lambda n: (n.start, -n.end))
 
 
 def _ended(lines: list[str], head: str, kinds: dict[str, str]) -> list[Node]:
     """Blocks that ``end`` closes at the indentation of their first line."""
-    pattern = re.compile(head)
-    nodes = []
-    for i, line in enumerate(lines):
-        m = pattern.match(line)
-        if not m:
-            continue
-        for j in range(i + 1, len(lines)):
-            if re.match(r"\s*end\b", lines[j]) and _indent(lines[j]) == _indent(line):
-                nodes.append(Node(i, j, kinds[m.group("word")], m.groupdict().get("name") or ""))
-                break
-    return nodes
+    make = lambda a, b, m: Node(a, b, kinds[m.group("word")], m.groupdict().get("name") or "")
+    return _paired(lines, re.compile(head), re.compile(r"^\s*end\b"), make)
 
 
 def _sections(lines: list[str], head: str, kind: str) -> list[Node]:
@@ -245,17 +256,8 @@ def _sections(lines: list[str], head: str, kind: str) -> list[Node]:
 
 def _markup(lines: list[str], names: str, kind: str) -> list[Node]:
     """Elements that begin a line and end at the same indentation."""
-    nodes = []
-    for i, line in enumerate(lines):
-        m = re.match(rf"[ \t]*<({names})\b", line, re.I)
-        if not m:
-            continue
-        close = re.compile(rf"[ \t]*</{re.escape(m.group(1))}\s*>", re.I)
-        for j in range(i, len(lines)):
-            if (j > i and close.match(lines[j]) and _indent(lines[j]) == _indent(line)) or (j == i and f"</{m.group(1)}" in line):
-                nodes.append(Node(i, j, kind))
-                break
-    return nodes
+    head = re.compile(rf"[ \t]*<(?P<tag>{names})\b", re.I)
+    return _paired(lines, head, re.compile(rf"</(?P<tag>{names})\s*>", re.I), lambda a, b, m: Node(a, b, kind))
 
 
 def _sql(lines: list[str]) -> list[Node]:
@@ -320,8 +322,17 @@ def extract(path: str, content: str, lines: list[str]) -> list[Node]:
     else:
         return []
     placed = []
-    for n in nodes:
-        around = sorted((o for o in nodes if o is not n and o.start <= n.start and o.end >= n.end and (o.start, o.end) != (n.start, n.end)), key=lambda o: o.start)
+    for n, around in with_ancestors(nodes):
         scope = ".".join(o.symbol for o in around if o.symbol)
-        placed.append(replace(n, scope=scope, symbol=n.symbol if extension in _NAMED else "", comment=_comment_start(lines, n.start)))
+        placed.append(replace(n, scope=scope, symbol=n.symbol if extension in _NAMED else "", comment=_comment_start(lines, n.start) if language not in ("md", "markdown") else None))
     return placed
+
+
+def with_ancestors(nodes: list[Node]):
+    """Each node, by place, with those of strictly larger range around it, outermost first. One sweep with a stack."""
+    stack: list[Node] = []
+    for n in sorted(nodes, key=lambda n: (n.start, -n.end)):
+        while stack and stack[-1].end < n.start:
+            stack.pop()
+        yield n, [o for o in stack if o.end >= n.end and (o.start, o.end) != (n.start, n.end)]
+        stack.append(n)
