@@ -70,6 +70,22 @@ def test_large_class_of_copies_is_linked_to_its_first(spark):
     assert len(found(spark, rows, 0.6)) == 13 * 12 // 2
 
 
+def test_large_class_gives_all_pairs(spark):
+    same = [(f"{i:04d}", ("One two, three four five six seven", "one two three four (five) six seven")[i % 2]) for i in range(1001)]
+    rows = same + [("zz", "one two three four five six seven eight")]
+    df = spark.createDataFrame(rows, "segment_hash string, content string")
+    pairs = neardup.similar_pairs(df, 0.6)
+    assert pairs.distinct().count() == pairs.count() == 1002 * 1001 // 2
+    assert pairs.where("segment_hash_b = 'zz'").count() == 1001
+
+
+def test_classes_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS_IN_A_BLOCK", 3)
+    texts = ["one two three four five six seven", "one two three four five six seven eight", "something else that has nothing in common"]
+    rows = [(f"{i:02d}", texts[i % 5 % 3]) for i in range(40)]
+    assert found(spark, rows, 0.6) == brute(rows, 0.6)
+
+
 def test_distances_never_discard_a_pair():
     import numpy as np
 

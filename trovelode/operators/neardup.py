@@ -39,8 +39,8 @@ SAMPLE_ROWS = 20_000
 COMMON_IN_SAMPLE = 40
 #: Rows of one run and band that one task joins with another; more are dealt out by a salt.
 SALTED_FROM = 500
-#: Classes of up to so many equal chunks give all pairs of members; beyond, each member is paired with the first.
-ALL_PAIRS_UP_TO = 1000
+#: Members of a class that are paired as one block; larger classes are dealt into several. Speed alone depends on it.
+MEMBERS_IN_A_BLOCK = 1000
 
 _COMMON = 1 << 40
 _word = re.compile(r"\w+")
@@ -260,11 +260,14 @@ def _members_and_pairs(chunks: DataFrame, similarity: float) -> tuple[DataFrame,
     return members, pairs
 
 
-def similar_pairs(chunks: DataFrame, similarity: float = 0.6, all_pairs_up_to: int = ALL_PAIRS_UP_TO) -> DataFrame:
+def similar_pairs(chunks: DataFrame, similarity: float = 0.6, all_pairs_up_to: int | None = None) -> DataFrame:
     """(segment_hash_a, segment_hash_b), a < b: the pairs of different chunks of at least the similarity.
 
-    Classes of more than ``all_pairs_up_to`` equal chunks are not expanded: each of their members is paired with the
-    first of them, which stands for them in pairs with other texts.
+    All members of all classes are paired, however large a class is. Classes are dealt into blocks of members, and each
+    pair of blocks is a group of the join of its own, so a hot class is spread over the tasks.
+
+    A caller may set ``all_pairs_up_to`` to have less: of classes with more members each is then paired with the first of
+    them, which stands for them in pairs with other texts.
     """
     members, pairs = _members_and_pairs(chunks, similarity)
     sizes = members.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("segment_hash").alias("first"))
@@ -272,19 +275,40 @@ def similar_pairs(chunks: DataFrame, similarity: float = 0.6, all_pairs_up_to: i
     several = sizes.where("copies > 1")
     needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).union(several.select("class")).distinct()
     # Only classes that have a partner or copies go on, which are few; their members are found once.
-    known = checkpointed(members.join(needed, "class", "left_semi").join(sizes, "class"))
-    standing = known.where((F.col("copies") <= all_pairs_up_to) | (F.col("segment_hash") == F.col("first")))
-    ends = [standing.select(F.col("class").alias(f"class_{x}"), F.col("segment_hash").alias(f"s_{x}")) for x in "ab"]
-    across = pairs.join(ends[0], "class_a").join(ends[1], "class_b").select("s_a", "s_b")
-    same = standing.where("copies > 1").select("class", F.col("segment_hash").alias("s_a")).join(
-        standing.where("copies > 1").select("class", F.col("segment_hash").alias("s_b")), "class"
-    ).where("s_a < s_b").select("s_a", "s_b")
-    to_first = known.where((F.col("copies") > all_pairs_up_to) & (F.col("segment_hash") != F.col("first"))).select(
-        F.col("first").alias("s_a"), F.col("segment_hash").alias("s_b")
+    known = checkpointed(members.join(needed, "class", "left_semi").join(sizes, "class").select("class", "segment_hash", "copies", "first"))
+    standing, linked = known, None
+    if all_pairs_up_to is not None:
+        standing = known.where((F.col("copies") <= all_pairs_up_to) | (F.col("segment_hash") == F.col("first")))
+        linked = known.where((F.col("copies") > all_pairs_up_to) & (F.col("segment_hash") != F.col("first"))).select(
+            F.col("first").alias("s_a"), F.col("segment_hash").alias("s_b")
+        )
+    blocks = F.ceil(F.col("copies") / MEMBERS_IN_A_BLOCK).cast("int")
+    dealt = standing.select("class", "segment_hash", F.pmod(F.xxhash64("segment_hash"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    counts = dealt.groupBy("class").agg(F.max("blocks").alias("blocks"), F.count(F.lit(1)).alias("standing"))
+    counts = checkpointed(counts)
+    within = counts.where("standing > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
+    of = [counts.select(F.col("class").alias(f"class_{x}"), F.col("blocks").alias(f"blocks_{x}")) for x in "ab"]
+    met = (
+        pairs.union(within)
+        .join(of[0], "class_a")
+        .join(of[1], "class_b")
+        .withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
+        .withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
+        .where("class_a != class_b or block_a <= block_b")
+        .select("class_a", "block_a", "class_b", "block_b")
     )
-    return across.union(same).union(to_first).select(
-        F.least("s_a", "s_b").alias("segment_hash_a"), F.greatest("s_a", "s_b").alias("segment_hash_b")
+    sides = [
+        met.join(dealt.select(F.col("class").alias(f"class_{x}"), F.col("block").alias(f"block_{x}"), F.col("segment_hash").alias(f"s_{x}")), [f"class_{x}", f"block_{x}"])
+        for x in "ab"
+    ]
+    found = (
+        sides[0]
+        .join(sides[1], ["class_a", "block_a", "class_b", "block_b"])
+        .where("class_a != class_b or block_a != block_b or s_a < s_b")
+        .select("s_a", "s_b")
     )
+    found = found if linked is None else found.union(linked)
+    return found.select(F.least("s_a", "s_b").alias("segment_hash_a"), F.greatest("s_a", "s_b").alias("segment_hash_b"))
 
 
 def similar_groups(chunks: DataFrame, similarity: float = 0.8) -> DataFrame:
