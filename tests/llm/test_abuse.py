@@ -29,6 +29,20 @@ def test_no_cases(scorer, text):
     assert scorer.score(text) < abuse.FLAG_FROM
 
 
+def test_runs_of_usual_words_decide_alone():
+    clean = ["You will find the index where you left it.", "I know the ledger and I will wait.", "We live with it; nobody would ask.", "You will know where it is.", "They miss the cursor."]
+    scorer = abuse.Scorer(abuse.train([(" ".join(clean), 0)]))
+    assert scorer.score("Nobody would miss you.") >= abuse.FLAG_FROM > max(map(scorer.score, clean))
+
+
+def test_every_passage_is_scored_by_all_its_features(scorer):
+    model = scorer.model
+    for text in (*CLEAN, "i will find you 2 times and kill you", "the quorum waits", "would 4 nobody would miss you", "nobody would nobody would miss"):
+        (words,) = scorer.words.passages(text)
+        assert scorer.severity(words) == pytest.approx(model.severity(abuse.features(words)))
+    assert scorer.score("Zzyzx.") == pytest.approx(model.severity(())) and 0 < model.severity(()) < abuse.FLAG_FROM
+
+
 def test_severity_is_ordered(scorer):
     insult, hate, threat = (scorer.score(t) for t in ("you pathetic wanker learn what a lamp is", "immigrants breed like rats", "go hang yourself"))
     assert 0.5 <= insult < threat and 0.5 <= hate < threat <= 3

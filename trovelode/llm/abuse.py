@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -35,8 +34,8 @@ from trovelode.tables import spread
 SAMPLE_TOXIC, SAMPLE_CLEAN = 500, 1000
 GRADES = 3
 FLAG_FROM = 0.3
-#: Words in more than this share of the passages of grade 0 tell nothing by themselves.
-USUAL = 0.004
+#: Weight of the passage without features, as a share of that of all phrases.
+FEATURELESS = 0.3
 
 #: Graded phrases. Names stand for themselves; ``_`` stands for any word.
 PHRASES: dict[int, str] = {
@@ -202,11 +201,13 @@ class Model(NamedTuple):
     weights: dict[str, float]
     thresholds: tuple[float, ...]
     words: tuple[str, ...]  # words that attract disguised spellings
-    telling: frozenset[str] = frozenset()  # words without any of which a passage scores 0
 
     def severity(self, found: Iterable[str]) -> float:
         """The expected grade of a passage with these features."""
-        total = sum(self.weights.get(f, 0.0) for f in found)
+        return self.grade(sum(self.weights.get(f, 0.0) for f in found))
+
+    def grade(self, total: float) -> float:
+        """The expected grade at a sum of weights; 0 is that of a passage without any feature that has a weight."""
         return sum(1 / (1 + math.exp(-max(-30.0, min(30.0, total - t)))) for t in self.thresholds)
 
 
@@ -283,6 +284,8 @@ def train(labelled: Iterable[tuple[str, int]]) -> Model:
     # The background as a whole weighs ten times the phrases, so that ordinary words of phrases tell nothing.
     share = 10.0 * sum(w for _, _, w in seeds) / max(1, len(background))
     used = set().union(*(f for f, _, _ in seeds))
+    # A passage without any feature is of grade 0, also where no or few documents are labelled.
+    seeds = [*seeds, (set(), 0, FEATURELESS * sum(w for _, _, w in seeds))]
     model = fit(seeds + [(f, 0, share) for f, _, _ in background], known, used)
     for _ in range(2):
         worst = []
@@ -293,30 +296,48 @@ def train(labelled: Iterable[tuple[str, int]]) -> Model:
                     worst.append((best, max(1, round(value)), 1.0))
         trusted = [(f, 0, share) for f, _, _ in background if model.severity(f) < FLAG_FROM]
         model = fit(seeds + worst + trusted, known, used.union(*(f for f, _, _ in worst)))
-    plain = [p for passages, toxic in docs if not toxic for p in passages]
-    usual = Counter(w for p in plain for w in set(p))
-    telling = {f for f, w in model.weights.items() if w > 0.02 and " " not in f and usual[f] <= USUAL * len(plain)}
-    return model._replace(telling=frozenset(telling))
+    return model
 
 
 class Scorer:
-    """Scores texts with a model; passages without a telling word, nearly all, are not looked at closely."""
+    """Scores texts with a model: every passage by all its features that have a weight."""
 
     def __init__(self, model: Model):
         self.model, self.words = model, _Words(model.words)
+        self.nothing = model.grade(0.0)
+        self.weighted = frozenset(w for f in model.weights for w in f.split(" "))  # every feature is made of these
+        self.singles = {f: w for f, w in model.weights.items() if " " not in f}
+        self.runs: dict[str, dict[str, tuple[str, ...]]] = {}  # by the first two words: the third ones, "" for none
+        for feature in model.weights:
+            first, *rest = feature.split(" ")
+            if rest:
+                thirds = self.runs.setdefault(first, {})
+                thirds[rest[0]] = (*thirds.get(rest[0], ()), rest[1] if len(rest) > 1 else "")
+
+    def severity(self, words: list[str]) -> float:
+        """What the model gives for all features of a passage, of which only those with a weight are made."""
+        weights, runs = self.model.weights, self.runs
+        if self.weighted.isdisjoint(words):
+            return self.nothing
+        words = [w for w in words if not w[0].isdigit()]
+        found = self.singles.keys() & words
+        for i, (first, second) in enumerate(zip(words, words[1:])):
+            if first in runs and second in runs[first]:
+                for third in runs[first][second]:
+                    if not third:
+                        found.add(f"{first} {second}")
+                    elif i + 2 < len(words) and words[i + 2] == third:
+                        found.add(f"{first} {second} {third}")
+        return self.model.grade(sum(weights[f] for f in sorted(found))) if found else self.nothing
 
     def score(self, text: str | None) -> float:
         """The worst passage's expected grade, and a tenth of what else is above the flag."""
         if not text:
             return 0.0
-        words, telling = self.words, self.model.telling
-        readable = words.text(text)
-        if telling.isdisjoint(map(words.__getitem__, set(_TOKEN.findall(readable)))):
-            return 0.0
         worst, more = 0.0, 0.0
-        for passage in words.split(readable):
-            if not telling.isdisjoint(passage):
-                value = self.model.severity(features(passage))
+        for passage in self.words.split(self.words.text(text)):
+            if passage:
+                value = self.severity(passage)
                 if value > worst:
                     worst, value = value, worst
                 if value >= FLAG_FROM:
