@@ -77,6 +77,28 @@ def test_joined_literals_and_escapes():
     assert secrets.redact(text, secrets.find(text, "a.ts")) == "const secret = '***\\'*' + \"*****\";"
 
 
+@pytest.mark.parametrize(
+    "path, text, value",
+    [
+        ("a.js", 'x={a:1,password="ab,c;D1"};', "ab,c;D1"), ("a.js", 'h.append("password", "Zx81{Qw}77");', "Zx81{Qw}77"), ("a.js", 'connect("x.invalid","svc_a","Data;set2593?");', "Data;set2593?"),
+        ("a.js", 'u="postgres://joe:Gall3ry,x!@db.invalid:1/x";', "Gall3ry,x!"), ("a.sql", "CREATE USER joe, ann IDENTIFIED BY 'wh4rf,019W';", "wh4rf,019W"),
+    ],
+)
+def test_long_lines_are_as_short_ones(path, text, value):
+    for line in (text, "f(1,2);" * 4000 + text + "g(3);" * 2000, "a.b+C-d" * 20_000 + " " + text):
+        findings = secrets.find(line, path)
+        assert [f.line for f in findings] == [1] and secrets.redact(line, findings) == line.replace(value, "*" * len(value))
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    for part in ('\\"token\\":\\"x\\",', "token abcdef ", "A+b3-c.", 'password,"', "connect(a)"):
+        secrets.find("password " + part * 30_000, "a.js")
+    assert time.monotonic() - began < 60
+
+
 def test_edge_rows(spark):
     good = 'x\nconst password = "Ab12!cd";\n'
     rows = [("a", "x.ts", good, 1), ("a", "x.ts", good, 1), ("b", None, good, 2), ("c", "x.ts", None, 3), (None, "x.ts", good, 4), ("d", "x.ts", "", 5), ("e", "x.ts", "password " * 30_000, 6)]

@@ -77,7 +77,7 @@ _BLOCK = re.compile(
         (?:((?:(?!-----).)*?)-----END\ [A-Z0-9\ ]*PRIVATE\ KEY(?:\ BLOCK)?-----|((?:[\s"'+,\\nr*#/]*[A-Za-z0-9+/]{16,}={0,2}(?=[\s"'\\]|\Z))*))""",
     re.S | re.X,
 )
-_IN_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[\w.\-\[\]${}]+")
+_IN_URL = re.compile(r"(?<=[A-Za-z0-9+.-])://([^\s:/@\"'`<>]*):([^\s/@\"'`<>]+)@[\w.\-\[\]${}]+")
 _HOOK = re.compile(r"https?://(?:hooks?\.[\w.-]+|[\w.-]*/(?:hooks?|webhooks?))/(?:services/|api/)?T\w{6,}/B\w{6,}/(\w{12,})")
 _AUTHORIZATION = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/=._~!?*%&$@#^-]{4,})", re.I)
 _COMMAND = re.compile(
@@ -110,14 +110,19 @@ _HINTS = (
     "pass pwd pw secret token credential key ://  authorization bearer basic identified mysql curl login connect kennwort "
     "contraseña clave psk value"
 ).split()
-_TOKENS = re.compile(
+_TOKEN_FORMS = (
     r"""(?P<comment>//[^\n]*|\#[^\n]*|/\*.*?(?:\*/|$)|<!--.*?(?:-->|$)|(?<![\w)])--\s[^\n]*)
       | (?P<string>[bBrRfFuU]{0,2}(?P<q>\"\"\"|'''|"|'|`)(?P<body>(?:\\.|(?!(?P=q)).)*)(?P=q))
       | (?P<word>\$?[A-Za-z_À-ɏ][\w$À-ɏ-]*)
       | (?P<op>:=|=>|===?|!==?|<=|>=|->|\?\?|\|\||&&|[-+*/%]=|[^\s\w])
-      | (?P<number>\d[\w.]*)""",
-    re.X | re.S,
+      | (?P<number>\d[\w.]*)"""
 )
+#: The quotes as they stand in ``_TOKEN_FORMS``.
+_QUOTES = r"""(?P<q>\"\"\"|'''|"|'|`)"""
+#: The name of a call that connects.
+_CONNECTS = re.compile(r"(?:connect|login|log_in|signin|sign_in|authenticate|auth)\w*\Z", re.I)
+#: A literal over lines, from its opening on.
+_OVER_LINES = re.compile(r"(?P<q>\"\"\"|'''|`)(?P<body>(?:\\.|(?!(?P=q)).)*)(?P=q)", re.S)
 _PARTS = re.compile(r"[A-ZÄÖÜÑ]+(?=[A-ZÄÖÜÑ][a-zäöüñ])|[A-ZÄÖÜÑ]?[a-zäöüñß]+|[A-ZÄÖÜÑ]+|\d+")
 
 
@@ -162,28 +167,122 @@ def _usable(value: str) -> bool:
     )
 
 
-def _body(match: re.Match, at: int) -> tuple[int, int]:
-    return at + match.start("body"), at + match.end("body")
+def _body(match: re.Match) -> tuple[int, int]:
+    return match.start("body"), match.end("body")
 
 
-def _line_findings(line: str, at: int, number: int, extension: str, previous: str) -> list[Finding]:
-    """Credentials that begin on one line (without its end), which starts at character ``at`` of the content."""
+@lru_cache(maxsize=8)
+def _tokens(unclosed: str) -> re.Pattern:
+    """The pattern of tokens, where these quotes open no literal."""
+    quotes = [re.escape(q) for q in ('"""', "'''", '"', "'", "`") if q not in unclosed]
+    listed = "|".join(quotes) if quotes else "(?!)"
+    return re.compile(_TOKEN_FORMS.replace(_QUOTES, f"(?P<q>{listed})"), re.X | re.S)
+
+
+def _lexed(content: str, start: int, end: int) -> list[re.Match]:
+    """The tokens between two offsets, in linear time: a quote that isn't closed once isn't closed further on either."""
+    tokens: list[re.Match] = []
+    unclosed, at = "", start
+    while at < end:
+        for token in _tokens(unclosed).finditer(content, at, end):
+            tokens.append(token)
+            at = token.end()
+            if token.group("op") in ('"', "'", "`") and token.group("op") not in unclosed:
+                unclosed += token.group("op")
+                break
+        else:
+            break
+    return tokens
+
+
+class _Stream:
+    """The code tokens from a line on, comments left out; lines below are read as they are asked for."""
+
+    def __init__(self, content: str, end: int, tokens: list[re.Match], lexed: dict[int, list[re.Match]]):
+        self.content, self.end, self.lexed = content, end, lexed
+        self.own = len(tokens)  # tokens of the line itself
+        self.tokens = list(tokens)
+
+    def get(self, i: int) -> re.Match | None:
+        """Token ``i``, also of a line below."""
+        while i >= len(self.tokens) and self.end < len(self.content):
+            start = self.end + 1
+            end = self.content.find("\n", start)
+            end = end if end >= 0 else len(self.content)
+            if start not in self.lexed:
+                self.lexed[start] = [t for t in _lexed(self.content, start, end) if t.group("comment") is None]
+            self.tokens += self.lexed[start]
+            self.end = end
+        return self.tokens[i] if i < len(self.tokens) else None
+
+    def after(self, i: int, literal: re.Match) -> int:
+        """The index of the first token behind a literal that begins at token ``i``."""
+        i += 1
+        while (token := self.get(i)) is not None and token.start() < literal.end():
+            i += 1
+        return i
+
+    def same_line(self, i: int) -> bool:
+        """Whether token ``i`` follows the one before on its line."""
+        return "\n" not in self.content[self.tokens[i - 1].end() : self.tokens[i].start()]
+
+    def same_line_as_name(self, i: int, j: int) -> bool:
+        return "\n" not in self.content[self.tokens[i].end() : self.tokens[j].start()]
+
+    def op(self, i: int) -> str | None:
+        token = self.get(i)
+        return token.group("op") if token else None
+
+    def literal(self, i: int) -> re.Match | None:
+        """The string literal at token ``i``; one that is open at the end of its line goes on below."""
+        token = self.get(i)
+        if token is None:
+            return None
+        text = self.content
+        if token.group() in ("`", '""', "''") and text.startswith(("`", '"""', "'''"), token.start()):
+            return _OVER_LINES.match(text, token.start())
+        return token if token.group("string") is not None else None
+
+
+def _scheme_before(line: str, end: int) -> bool:
+    """Whether the scheme of a URL, a letter at the start of a word and what may follow, ends there."""
+    start = end
+    while start and (line[start - 1].isascii() and line[start - 1].isalnum() or line[start - 1] in "+.-"):
+        start -= 1
+    return bool(re.compile(r"\b[A-Za-z]").search(line, start, end))
+
+
+def _opens_call(content: str, token: re.Match) -> bool:
+    """Whether a token is the first argument of a call."""
+    at = token.start()
+    while at and content[at - 1].isspace():
+        at -= 1
+    return at > 0 and content[at - 1] == "("
+
+
+def _closes(stream: _Stream, i: int) -> bool:
+    return stream.op(i) == ")" or stream.op(i) == "," and stream.op(i + 1) == ")"
+
+
+def _line_findings(content: str, at: int, end: int, number: int, extension: str, previous: str, lexed: dict[int, list[re.Match]]) -> list[Finding]:
+    """Credentials named or standing on the line between two offsets (without its end); values may be on lines below."""
+    line = content[at:end]
     found: list[Finding] = []
 
     def add(kind: str, *spans: tuple[int, int]) -> None:
         spans = tuple((a, b) for a, b in spans if b > a)
         if spans:
-            found.append(Finding(number, kind, spans))
+            found.append(Finding(number + (content.count("\n", at, spans[0][0]) if spans[0][0] > end else 0), kind, spans))
 
     for m in _IN_URL.finditer(line):
-        if _usable(m.group(2)):
+        if _usable(m.group(2)) and _scheme_before(line, m.start()):
             add("url", (at + m.start(2), at + m.end(2)))
     for m in _HOOK.finditer(line):
         add("hook", (at + m.start(1), at + m.end(1)))
+    named = re.search("authorization", line, re.I)
     for m in _AUTHORIZATION.finditer(line):
         kind, value = m.group(1).lower(), m.group(2)
-        before = line[: m.start()].lower()
-        if not is_placeholder(value) and ("authorization" in before or kind == "bearer"):
+        if not is_placeholder(value) and (named and named.end() <= m.start() or kind == "bearer"):
             if kind == "basic":
                 try:
                     user, colon, word = base64.b64decode(value, validate=True).decode("utf-8").partition(":")
@@ -197,7 +296,13 @@ def _line_findings(line: str, at: int, number: int, extension: str, previous: st
         group = m.lastindex
         if group and _usable(m.group(group)) and (extension in ("sh", "bash", "zsh", "", "md", "yaml", "yml") or group < 3):
             add("command", (at + m.start(group), at + m.end(group)))
-    for m in _ACCOUNT.finditer(line):
+    account = line
+    if re.search(r"(?:\bby|\bto|password|=|\()\s*\Z", line[-200:], re.I):  # the literal may be on the next line
+        stop = content.find("\n", content.find("\n", end) + 1) if content.find("\n", end) >= 0 else end
+        account = content[at : stop if stop >= 0 else len(content)]
+    for m in _ACCOUNT.finditer(account):
+        if m.start() >= len(line):
+            break
         group = 2 if m.group(2) is not None else 3
         if _usable(m.group(group)):
             add("account", (at + m.start(group), at + m.end(group)))
@@ -206,55 +311,72 @@ def _line_findings(line: str, at: int, number: int, extension: str, previous: st
         if names_credential(m.group(1)) and _usable(m.group(2)):
             add("header", (at + m.start(2), at + m.end(2)))
 
-    tokens = list(_TOKENS.finditer(line))
-    comments: list[tuple[int, int]] = []
-    for i, token in enumerate(tokens):
-        kind = token.lastgroup
-        if token.group("comment") is not None:
-            comments.append(token.span())
-            continue
+    lexed_line = _lexed(content, at, end)
+    comments = [(t.start() - at, t.end() - at) for t in lexed_line if t.group("comment") is not None]
+    code = [t for t in lexed_line if t.group("comment") is None]
+    line_end = content.find("\n", end)
+    stream = _Stream(content, line_end if line_end >= 0 else len(content), code, lexed)
+    for i in range(stream.own):
+        token = code[i]
         name = token.group("word") or (token.group("body") if token.group("string") is not None else None)
-        if not name or not re.fullmatch(r"\$?[\w$.À-ɏ-]{2,80}", name) or not names_credential(name):
+        if not name:
+            continue
+        # svc("host", "user", "password"): the literal after an account in a call that connects
+        if token.group("word") and _CONNECTS.search(name) and stream.op(i + 1) == "(":
+            literals, depth, j = [], 0, i + 1
+            while len(literals) < 3 and (now := stream.get(j)) is not None:
+                depth += (now.group("op") in ("(", "[", "{")) - (now.group("op") in (")", "]", "}"))
+                if depth <= 0:
+                    break
+                if now.group("string") is not None:
+                    literals.append(now)
+                j += 1
+            if len(literals) == 3:
+                user, word = literals[1].group("body"), literals[2].group("body")
+                if _usable(word) and re.fullmatch(r"[\w.-]+", user) and not re.fullmatch(r"[a-z_ -]+|[A-Z_ ]+", word):
+                    add("passed", _body(literals[2]))
+        if not re.fullmatch(r"\$?[\w$.À-ɏ-]{2,80}", name) or not names_credential(name):
             continue
         # setName(literal), but not loadName(literal): what a call gives is no literal
-        if re.match(r"(?:set|with|use|put|update|change)(?:_|[A-Z])", name) and i + 3 < len(tokens):
-            opening, literal, closing = tokens[i + 1 : i + 4]
-            if opening.group("op") == "(" and literal.group("string") is not None and closing.group("op") == ")" and _usable(literal.group("body")):
-                add("passed", _body(literal, at))
-                continue
+        if re.match(r"(?:set|with|use|put|update|change)(?:_|[A-Z])", name) and stream.op(i + 1) == "(":
+            literal = stream.literal(i + 2)
+            if literal and _usable(literal.group("body")):
+                j = stream.after(i + 2, literal)
+                if stream.op(j) == ")" or stream.op(j) == "," and stream.op(j + 1) == ")":
+                    add("passed", _body(literal))
+                    continue
         # name [type or closing signs] = literal [+ literal ...]
         j = i + 1
-        while j < len(tokens) and (tokens[j].group("word") or tokens[j].group("op") in (":", "*", "[", "]", "?", ")", "<", ">", "&")) and j - i <= 6:
-            if tokens[j].group("op") == ":" and j + 1 < len(tokens) and tokens[j + 1].group("string") is not None:
+        while j < stream.own and (code[j].group("word") or code[j].group("op") in (":", "*", "[", "]", "?", ")", "<", ">", "&")) and j - i <= 6:
+            if code[j].group("op") == ":" and (j == i + 1 or j + 1 < stream.own) and stream.literal(j + 1):
                 break
             j += 1
-        if j >= len(tokens) or tokens[j].group("op") not in ("=", ":", ":=", "=>", ","):
-            continue
-        if tokens[j].group("op") == "," and not (token.group("string") is not None):
+        if stream.op(j) not in (("=", ":", ":=", "=>", ",") if j < stream.own else ("=", ":=")):
             continue
+        if stream.op(j) == ",":
+            if token.group("string") is None:
+                continue
+            # Over lines, names in a list look the same; only the two arguments of a call are a name and its value.
+            if j + 1 >= stream.own and not (_opens_call(content, token) and _closes(stream, j + 2)):
+                continue
         j += 1
-        if j < len(tokens) and tokens[j].group("op") == "(":
+        if stream.op(j) == "(":
             j += 1
         spans, value = [], ""
-        while j < len(tokens) and tokens[j].group("string") is not None:
-            spans.append(_body(tokens[j], at))
-            value += tokens[j].group("body")
-            joined = j + 1 < len(tokens) and tokens[j + 1].group("op") in ("+", ".", "..", "&") and j + 2 < len(tokens) and tokens[j + 2].group("string") is not None
-            j += 2 if joined else 1
-            if not joined:
+        while literal := stream.literal(j):
+            spans.append(_body(literal))
+            value += literal.group("body")
+            j = stream.after(j, literal)
+            if stream.op(j) not in ("+", ".", "..", "&") or not stream.literal(j + 1):
                 break
-        called = j < len(tokens) and tokens[j].group("op") in ("(", "[")
+            j += 1
+        called = stream.op(j) in ("(", "[") and stream.same_line(j)
+        if stream.op(j) in (":", "=") and len(spans) == 1 and j > stream.own and not stream.same_line_as_name(i, j - 1):
+            continue  # the next key of a mapping, whose own value is below it
         # a name of two letters may be anything, as in minified code
         if spans and _usable(value) and not called and (len(name) > 2 or looks_secret(value)):
             add("assigned", *spans)
 
-    # svc("host", "user", "password"): the literal after an account in a call that connects
-    m = re.search(r"\b\w*(?:connect|login|log_in|signin|sign_in|authenticate|auth)\w*\s*\(", line, re.I)
-    if m:
-        literals = [t for t in tokens if t.group("string") is not None and t.start() >= m.end()]
-        if len(literals) >= 3 and _usable(literals[2].group("body")) and re.fullmatch(r"[\w.-]+", literals[1].group("body")) and not re.fullmatch(r"[a-z_ -]+|[A-Z_ ]+", literals[2].group("body")):
-            add("passed", _body(literals[2], at))
-
     if extension in _CONFIG or not extension:
         m = re.match(r"""\s*(?:export\s+|set\s+|-\s+)?["']?([\w.-]+)["']?\s*([:=])\s*([^\s"'#][^\s,]*)\s*(?:\s\#.*)?,?$""", line)
         name = m.group(1) if m else None
@@ -332,6 +454,7 @@ def find(content: str | None, path: str | None = None) -> list[Finding]:
     issued = [m for m in _ISSUED.finditer(content) if not is_placeholder(m.group()) and re.search(r"\d", m.group())]
     starts = _suspected(content)
     per_line: list[Finding] = []
+    lexed: dict[int, list[re.Match]] = {}
     last_start, number = 0, 1
     for start in sorted(starts):
         number += content.count("\n", last_start, start)
@@ -339,19 +462,9 @@ def find(content: str | None, path: str | None = None) -> list[Finding]:
         end = content.find("\n", start)
         line = content[start : end if end >= 0 else len(content)]
         line = line[:-1] if line.endswith("\r") else line
-        if len(line) > 20_000:
-            pieces = [(m.start(), m.end()) for m in re.finditer(r"[^;,{}]{1,4000}[;,{}]?", line)]
-        else:
-            pieces = [(0, len(line))]
         above_start = content.rfind("\n", 0, max(0, start - 1)) + 1
         previous = content[above_start : start - 1] if start else ""
-        stripped = line.rstrip()
-        for a, b in pieces:
-            part = line[a:b]
-            if len(pieces) == 1 and re.search(r"(?:\s:?=|\()$", stripped) and end >= 0:
-                stop = content.find("\n", end + 1)
-                part = content[start : stop if stop >= 0 else len(content)]
-            per_line += _line_findings(part, start + a, number, extension, previous)
+        per_line += _line_findings(content, start, start + len(line), number, extension, previous, lexed)
     for m in issued:
         per_line.append(Finding(content.count("\n", 0, m.start()) + 1, "issued", (m.span(),)))
     for f in per_line:
