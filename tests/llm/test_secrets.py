@@ -99,6 +99,31 @@ def test_long_lines_take_linear_time():
     assert time.monotonic() - began < 60
 
 
+@pytest.mark.parametrize(
+    "path, text, value",
+    [
+        ("a.ts", 'client.setApiKey(\n  "Zx81Qw77Ty"\n)', "Zx81Qw77Ty"), ("a.ts", 'client.setApiKey(\n  "Zx81Qw77Ty", // key\n)', "Zx81Qw77Ty"), ("a.ts", 'connect(\n  "x.invalid",\n  "svc",\n  "Data2593?"\n)', "Data2593?"),
+        ("a.json", '{"password":\n  "Zx81Qw77Ty"}', "Zx81Qw77Ty"), ("a.py", 'f(\n  password=\n  "Zx81Qw77Ty")', "Zx81Qw77Ty"), ("a.ts", 'const password =\n\n  "Zx81Qw77Ty";', "Zx81Qw77Ty"),
+        ("a.kt", 'val password: String\n  = "Zx81Qw77Ty"', "Zx81Qw77Ty"), ("a.ts", 'form.append(\n  "password",\n  "Zx81Qw77Ty",\n)', "Zx81Qw77Ty"), ("a.sql", "CREATE USER joe IDENTIFIED BY\n  'wh4rf019W';", "wh4rf019W"),
+    ],
+)
+def test_credentials_over_lines(path, text, value):
+    (found,) = secrets.find(f"first\n\n{text}\nlast", path)
+    assert found.line == 3 + next(i for i, x in enumerate(text.split("\n")) if value in x)
+    assert secrets.redact(text, secrets.find(text, path)) == text.replace(value, "*" * len(value))
+
+
+@pytest.mark.parametrize(
+    "path, text",
+    [
+        ("a.yaml", 'password:\nother: "abcdef"'), ("a.yaml", 'password:\n  "first": "abcdef"'), ("a.py", 'FIELDS = [\n  "password",\n  "remember_me",\n]'), ("a.py", 'def f(password: str):\n    "abcdef"'),
+        ("a.ts", 'connect(\n  "x.invalid"\n);\nf("svc", "Data2593?")'), ("a.ts", 'const token =\n  load("abcdef")'),
+    ],
+)
+def test_no_credentials_over_lines(path, text):
+    assert secrets.find(text, path) == []
+
+
 def test_edge_rows(spark):
     good = 'x\nconst password = "Ab12!cd";\n'
     rows = [("a", "x.ts", good, 1), ("a", "x.ts", good, 1), ("b", None, good, 2), ("c", "x.ts", None, 3), (None, "x.ts", good, 4), ("d", "x.ts", "", 5), ("e", "x.ts", "password " * 30_000, 6)]

@@ -1,9 +1,10 @@
 """Literal credentials in source code and configuration: finding them and making them unreadable.
 
-A quick pattern marks the lines that could hold one. Those are tokenized lexically (words, string literals, comments,
-operators), and a literal counts if it is assigned or passed to a credential-named identifier, stands where a command, a
-URL, a header or an account statement has its password, is told in a comment as a login, or has the form that issuers give
-their keys. Placeholders, references to an environment or a store, results of calls, public keys, digests and identifiers
+A quick pattern marks the lines that could name one. Those are tokenized lexically (words, string literals, comments,
+operators), with as many lines below as an assignment or call goes on for; the line of a finding is where its literal
+begins. A literal counts if it is assigned or passed to a credential-named identifier, stands where a command, a URL, a
+header or an account statement has its password, is told in a comment as a login, or has the form that issuers give their
+keys. Placeholders, references to an environment or a store, results of calls, public keys, digests and identifiers
 don't count. Private key blocks count once, at their first line.
 
 Redacting replaces the characters of the literal by asterisks, one for one. Delimiters, escape sequences, line ends and
