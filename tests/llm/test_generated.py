@@ -45,6 +45,14 @@ def test_hand_written(path, text):
     assert generated.reasons(path, text) == []
 
 
+def test_notice_below_a_long_licence():
+    licence = "".join(f" * licence text, line {i} of it\n" for i in range(60))
+    body = "export const x = compute(other);\n"
+    assert generated.reasons("a/x.ts", f"/*\n{licence} * Code generated by tool. DO NOT EDIT.\n */\n{body}") == ["generated header"]
+    assert generated.reasons("a/x.ts", f"/*\n{licence} */\n// Upstream: https://x.invalid\n{body}") == ["vendored header"]
+    assert generated.reasons("a/x.ts", f"/*\n{licence} */\n{body}// Upstream: https://x.invalid\n") == []
+
+
 def test_merkle_finds_shared_subtrees(spark):
     body = [f"export const v{i} = compute({i}, other{i}); // some longer line of code number {i}\n" * 9 for i in range(5)]
     rows = [("a", "a/src/kit/x.ts", body[0]), ("a", "a/src/kit/deep/y.ts", body[1]), ("a", "a/src/own.ts", body[2])]

@@ -91,7 +91,7 @@ _CODE_NAMES = re.compile(r"[A-Za-z_$][\w$]*")
 def header(text: str) -> list[str]:
     """The lines of the comments that a file begins with (and of a comment member that JSON begins with)."""
     lines, block = [], False
-    for line in text.lstrip("﻿").splitlines()[:40]:
+    for line in text.lstrip("﻿").splitlines():
         bare = line.strip()
         if block or _COMMENT.match(bare):
             lines.append(_MEMBER.sub("", bare))
