@@ -70,6 +70,18 @@ def test_merkle_finds_shared_subtrees(spark):
     assert all(r == ["shared subtree"] for r in found.values())
 
 
+def test_short_files_count_in_the_hashes(spark):
+    body = "const value = compute(other); // a long enough line of code\n" * 6
+    small = [f"export {{ name{i}, another{i}, third{i} }} from './module{i}/with/a/path/{i}';\n" for i in range(6)]
+    # "kit" is made of small files alone and shared; "half" has a long shared file and a short one of each workspace.
+    rows = [(w, f"{w}/{d}/kit/f{i}.ts", small[i]) for w, d in (("a", "x"), ("b", "y")) for i in range(6)]
+    rows += [(w, f"{w}/{d}/half/{name}", text) for w, d in (("a", "x"), ("b", "y")) for name, text in (("long.ts", body), ("own.ts", f"export const own{w} = 1;\n"))]
+    rows += [(w, f"{w}/{d}/none/index.ts", "export {};\n") for w, d in (("a", "x"), ("b", "y"))]
+    df = spark.createDataFrame(rows, "workspace string, path string, content string")
+    found = {r["path"] for r in generated.not_hand_written(df).collect()}
+    assert found == {f"{p}/kit/f{i}.ts" for p in ("a/x", "b/y") for i in range(6)} | {"a/x/half/long.ts", "b/y/half/long.ts"}
+
+
 def test_a_directory_differs_by_names_and_contents(spark):
     body = "const value = compute(other); // a long enough line of code\n" * 6
     rows = [("a", "a/p/q/x.ts", body), ("b", "b/p/q/renamed.ts", body)]

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from trovelode.tables import checkpointed, spread
 
+#: Characters, as compared, that a shared file or directory has at least to be evidence; all files count in the hashes.
+EVIDENCE_FROM = 200
+
 #: Directories and file names that tools write to, and directories for outside code.
 GENERATED_DIRECTORIES = {"generated", "__generated__", "gen", "autogen", "codegen-out", "generated-sources", "auto-generated"}
 GENERATED_NAMES = re.compile(
@@ -158,23 +161,26 @@ def bare(text: str) -> str:
 
 
 def judged(files: DataFrame) -> DataFrame:
-    """(path, workspace, reasons array, content_hash long) of each file; the hash is that of :func:`bare`, null if short."""
+    """(path, workspace, reasons array, content_hash long, n_chars int) of each file; hash and size are those of :func:`bare`."""
     source = spread(files.select("path", "workspace", "content").where("path is not null and content is not null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            why, hashes = [], []
+            why, hashes, sizes = [], [], []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 why.append(reasons(path, text))
                 rest = bare(text)
                 digest = xxhash.xxh64_intdigest(rest.encode("utf-8", "surrogatepass"))
-                hashes.append(digest - (1 << 64) * (digest >> 63) if len(rest) >= 200 else None)
-            columns = [batch.column("path"), batch.column("workspace"), pa.array(why, pa.list_(pa.string())), pa.array(hashes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["path", "workspace", "reasons", "content_hash"])
+                hashes.append(digest - (1 << 64) * (digest >> 63))
+                sizes.append(len(rest))
+            columns = [
+                batch.column("path"), batch.column("workspace"), pa.array(why, pa.list_(pa.string())), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "workspace", "reasons", "content_hash", "n_chars"])
 
-    return source.mapInArrow(run, "path string, workspace string, reasons array<string>, content_hash long")
+    return source.mapInArrow(run, "path string, workspace string, reasons array<string>, content_hash long, n_chars int")
 
 
 def _directory(path: Column) -> Column:
@@ -186,17 +192,16 @@ def _name(path: Column) -> Column:
 
 
 def merkle(files: DataFrame) -> DataFrame:
-    """(workspace, path, directory boolean, node_hash long, depth int, n_files long) of each file and directory.
+    """(workspace, path, directory boolean, node_hash long, depth int, n_files long, n_chars long) of each file and directory.
 
     Bottom-up: a directory's hash comes from the names and hashes of its entries, level by level. The number of levels is
     that of the deepest path; each level is one aggregation, and the levels grow smaller towards the roots.
     """
     depth = F.size(F.split("path", "/"))
     leaves = (
-        files.where("content_hash is not null")
-        .groupBy("workspace", "path")
-        .agg(F.max("content_hash").alias("node_hash"))
-        .select("workspace", "path", F.lit(False).alias("directory"), "node_hash", depth.alias("depth"), F.lit(1).cast("long").alias("n_files"))
+        files.groupBy("workspace", "path")
+        .agg(F.max("content_hash").alias("node_hash"), F.max_by("n_chars", "content_hash").cast("long").alias("n_chars"))
+        .select("workspace", "path", F.lit(False).alias("directory"), "node_hash", depth.alias("depth"), F.lit(1).cast("long").alias("n_files"), "n_chars")
     )
     leaves = checkpointed(leaves)
     deepest = leaves.agg(F.max("depth")).first()[0] or 0
@@ -212,10 +217,11 @@ def merkle(files: DataFrame) -> DataFrame:
                 F.bit_xor(entry).alias("xor"),
                 F.count(F.lit(1)).alias("entries"),
                 F.sum("n_files").alias("n_files"),
+                F.sum("n_chars").alias("n_chars"),
             )
             .select(
                 "workspace", "path", F.lit(True).alias("directory"), F.xxhash64("sum", "xor", "entries").alias("node_hash"),
-                F.lit(level - 1).alias("depth"), "n_files",
+                F.lit(level - 1).alias("depth"), "n_files", "n_chars",
             )
         )
         below = checkpointed(below)
@@ -227,7 +233,11 @@ def merkle(files: DataFrame) -> DataFrame:
 
 
 def shared_subtrees(tree: DataFrame) -> DataFrame:
-    """(workspace, path, directory, workspaces long): files and directories with the same hash in several workspaces."""
+    """(workspace, path, directory, workspaces long): files and directories with the same hash in several workspaces.
+
+    Those with little in them are no evidence: an empty or one-line file is the same in many trees.
+    """
+    tree = tree.where(F.col("n_chars") >= EVIDENCE_FROM)
     spread_over = tree.groupBy("node_hash").agg(F.count_distinct("workspace").alias("workspaces")).where("workspaces > 1")
     return tree.join(spread_over, "node_hash").select("workspace", "path", "directory", "workspaces")
 
