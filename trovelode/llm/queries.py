@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelode.llm import abuse, bpe, docpairs, generated, packing, secrets
+from trovelode.llm import abuse, bpe, docpairs, generated, neardup, packing, secrets, split
 from trovelode.tables import table
 
 
@@ -33,6 +33,14 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated.not_hand_written(table(spark, sf_dir, "files"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.oversized(table(spark, sf_dir, "chunks"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_chunks(table(spark, sf_dir, "chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.found(table(spark, sf_dir, "chunks"))
 
@@ -41,6 +49,14 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.documented_functions(table(spark, sf_dir, "chunks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, sf_dir, "chunks"), similarity=0.6)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(table(spark, sf_dir, "chunks"), similarity=0.8)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.credentials(table(spark, sf_dir, "chunks"))
 
@@ -62,9 +78,28 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_reasons": p1_reasons, "p3_found": p3_found, "p3_pairs": p3_pairs, "p5_found": p5_found,
+    "p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found,
     "p5_redacted": p5_redacted, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill,
 }
 
-SQL = {"p6_round_trip": "SELECT doc_id, text FROM documents"}
+SQL = {
+    "p6_round_trip": "SELECT doc_id, text FROM documents",
+    "p2_found": """
+        SELECT DISTINCT segment_hash FROM chunks
+        WHERE segment_hash IS NOT NULL
+          AND length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 4024
+    """,
+    "p4_found": r"""
+        WITH words AS (
+            SELECT segment_hash, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}_]+') AS w
+            FROM chunks WHERE segment_hash IS NOT NULL AND content IS NOT NULL GROUP BY segment_hash
+        ), runs AS (
+            SELECT DISTINCT segment_hash, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM words
+        ), sized AS (SELECT *, count(*) OVER (PARTITION BY segment_hash) AS n FROM runs)
+        SELECT a.segment_hash AS segment_hash_a, b.segment_hash AS segment_hash_b
+        FROM sized a JOIN sized b ON a.run = b.run AND a.segment_hash < b.segment_hash
+        GROUP BY a.segment_hash, b.segment_hash, a.n, b.n
+        HAVING count(*) >= 0.6 * (a.n + b.n - count(*))
+    """,
+}
