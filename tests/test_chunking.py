@@ -9,7 +9,7 @@ from trovelode.operators.chunking import Piece, chunk_file, chunk_lines, fill_ga
 
 def test_constants():
     assert config.CHUNK_LIMIT == 4024
-    assert len(config.EXTENSIONS) == 43 and len(config.IGNORED_DIRECTORIES) == 31 and len(config.IGNORED_FILES) == 13
+    assert len(config.EXTENSIONS) == 43 and len(config.IGNORED_DIRECTORIES) == 30 and len(config.IGNORED_FILES) == 13
     assert len(config.STRUCTURED_EXTENSIONS) == 44
 
 

@@ -28,20 +28,21 @@ LIST_LIMIT_MAX = 1000
 BM25_K1, BM25_B = 1.2, 0.75
 
 #: Fixed values.
-EXTENSIONS = (
-    "ts tsx mts cts js jsx mjs cjs py rs go c h cpp hpp java kt rb php swift cs html css vue svelte json yaml yml toml md "
-    "markdown sh bash zsh sql graphql lua zig scala ex exs vala vapi"
-).split()
-FILE_NAMES = "Dockerfile Makefile Vagrantfile Gemfile Rakefile .env.example".split()
-IGNORED_DIRECTORIES = (
-    "node_modules __pycache__ .git venv .venv dist build out bundle vendor target tmp temp .next .nuxt coverage uploads "
-    ".codebase-indexer .mcp-linux .cache .idea .vs eggs .eggs site-packages .tox .mypy_cache .ruff_cache .pytest_cache "
-    "bower_components .gradle"
-).split()
-IGNORED_FILES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml composer.lock Gemfile.lock Cargo.lock poetry.lock Pipfile.lock go.sum "
-    "flake.lock bun.lockb .DS_Store Thumbs.db"
-).split()
+EXTENSIONS = [
+    "ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "py", "rs", "go", "c", "h", "cpp", "hpp", "java", "kt",
+    "rb", "php", "swift", "cs", "html", "css", "vue", "svelte", "json", "yaml", "yml", "toml", "md", "markdown", "sh",
+    "bash", "zsh", "sql", "graphql", "lua", "zig", "scala", "ex", "exs", "vala", "vapi",
+]
+FILE_NAMES = ["Dockerfile", "Makefile", "Vagrantfile", "Gemfile", "Rakefile", ".env.example"]
+IGNORED_DIRECTORIES = [
+    "node_modules", "__pycache__", ".git", "venv", ".venv", "dist", "build", "out", "bundle", "vendor", "target",
+    "tmp", "temp", ".next", ".nuxt", "coverage", "uploads", ".mcp-linux", ".cache", ".idea", ".vs", "eggs", ".eggs",
+    "site-packages", ".tox", ".mypy_cache", ".ruff_cache", ".pytest_cache", "bower_components", ".gradle",
+]
+IGNORED_FILES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "Gemfile.lock", "Cargo.lock", "poetry.lock",
+    "Pipfile.lock", "go.sum", "flake.lock", "bun.lockb", ".DS_Store", "Thumbs.db",
+]
 STRUCTURED_EXTENSIONS = sorted({*EXTENSIONS, "htm"})
 #: Other spellings of an extension, with the one under which its language is known.
 ALIASES = {"mjs": "js", "cjs": "js", "mts": "ts", "cts": "ts", "bash": "sh", "zsh": "sh", "exs": "ex", "yml": "yaml"}

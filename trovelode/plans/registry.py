@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trovelode.plans import indexing, problems, search
+from trovelode.plans import indexing, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**search.QUERIES, **indexing.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**search.SQL, **problems.SQL}
+QUERIES: dict[str, Query] = {**search.QUERIES, **indexing.QUERIES}
+SQL: dict[str, str] = {**search.SQL}
