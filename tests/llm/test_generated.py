@@ -19,7 +19,8 @@ FONT = "@font-face {\n  src: url(data:font/woff2;base64," + "".join(RNG.choice("
         ("w/src/a.py", "# <auto-generated>\n#  Produced by x\n# </auto-generated>\nx = 1\n"), ("w/src/a.rs", "// This file was automatically generated from a/b.idl.\n" + CODE),
         ("w/src/a.go", "// Generated from a.yaml on 2021-02-03\npackage a\n"), ("w/a.md", "<!-- auto-generated Produced by x, version 9 /auto-generated -->\n\n# T\n"),
         ("w/src/a.c", "// Dieses Modul wird vom Werkzeug x erzeugt und bei jedem Lauf überschrieben.\n" + CODE), ("w/a.json", '{\n  "//": "Generated from a.idl on 2022-09-28",\n  "b": 1\n}\n'),
-        ("w/b.json", '{\n  "_comment": "Autogenerated by x-codegen source: a.yaml",\n  "b": 1\n}\n'), ("w/src/gen/a.rs", CODE), ("w/src/a_pb2.py", "x = 1\n"), ("w/src/AOuterClass.java", CODE), ("w/src/third_party/a-1.2/b.js", CODE), ("w/src/lib/ext/a/b.js", CODE),
+        ("w/b.json", '{\n  "_comment": "Autogenerated by x-codegen source: a.yaml",\n  "b": 1\n}\n'), ("w/src/a_pb2.py", "x = 1\n"), ("w/src/AOuterClass.java", CODE), ("w/src/a.py", "K = (\n" + "".join(f'    b"{"Ab3/" * 19}"\n' for _ in range(30)) + ")\n"),
+        ("w/src/a.c", "/*\n * Copyright (c) the kit project authors. All rights reserved.\n * Use is governed by the licence in the kit distribution.\n */\n" + CODE), ("w/src/a.ts", "// kit - tiny\n// version: 2.3.4\n// license: MIT\n" + CODE),
         ("w/src/a.js", "/*! x v1.2.3 | (c) the x contributors | MIT */\n" + CODE), ("w/src/a.js", "// Vendored from x 1.2, do not patch here.\n" + CODE),
         ("w/src/a.js", "// upstream: https://x.invalid/y\n// local modifications: none\n" + CODE), ("w/src/a.ts", NUMBERS), ("w/src/a.js", MINIFIED), ("w/src/a.yaml", LOCK), ("w/src/a.css", FONT),
         ("w/src/d.sql", "".join(f"INSERT INTO t VALUES ({i}, 'x', 1.5);\n" for i in range(30))),
@@ -33,7 +34,9 @@ def test_cases(path, text):
 @pytest.mark.parametrize(
     "path, text",
     [
-        ("w/src/a.ts", CODE), ("w/src/a.ts", ""), ("w/src/codegen/a.ts", "// Written by hand; the generated x lives elsewhere.\n" + CODE), ("w/src/vendors/a.ts", CODE),
+        ("w/src/a.ts", CODE), ("w/src/a.ts", ""), ("w/src/deps/graph.py", CODE), ("w/external/client.py", CODE), ("w/src/gen/rand.py", CODE), ("w/third_party/a-1.2/b.js", CODE),
+        ("w/src/a.py", "# License: MIT\n" + CODE), ("w/src/a.py", "# Copyright (c) the X Project Authors\n" + CODE),
+        ("kit/src/a.py", "# Copyright (c) the kit project authors.\n# Licence: see LICENCE in the kit repository\n" + CODE), ("w/src/codegen/a.ts", "// Written by hand; the generated x lives elsewhere.\n" + CODE), ("w/src/vendors/a.ts", CODE),
         ("w/src/a.ts", "// Do not edit the x here, ask the y team first.\n" + CODE), ("w/src/a.ts", "// This module generates the x and must not be edited while it runs.\n" + CODE),
         ("w/src/a.ts", "// Minified output of the x is written to y z.\n" + CODE), ("w/src/a.ts", "// Copyright (c) the w maintainers\n" + CODE),
         ("w/a.toml", "[a]\nchecksum = \"ab12\"\nb = 1\nc = 2\nd = 3\ne = 4\n"), ("w/a.md", "# Vendored code\n\nThis page tells how code generated by tools is kept. " * 30),
@@ -53,6 +56,41 @@ def test_notice_below_a_long_licence():
     assert generated.reasons("a/x.ts", f"/*\n{licence} */\n{body}// Upstream: https://x.invalid\n") == []
 
 
+def found(spark, rows):
+    df = spark.createDataFrame(rows, "workspace string, path string, content string")
+    return {r["path"]: r["reasons"] for r in generated.not_hand_written(df).collect()}
+
+
+def test_names_count_where_the_corpus_bears_them_out(spark):
+    own = [("w", f"w/{d}/f.py", CODE.replace("load", d.replace("/", "_"))) for d in ("src/deps", "external", "src/gen", "third_party/kit")]
+    assert found(spark, own) == {}
+    header = "// Vendored from kit 1.2, do not patch here.\n"
+    stated = [("v", f"v/third_party/kit{i}/f{i}.ts", header + f"export const a{i} = {i};\n") for i in range(4)]
+    silent = [("v", "v/third_party/other-1.2/f.ts", CODE), ("v", "v/third_party/own.ts", CODE.replace("load", "own"))]
+    got = found(spark, own + stated + silent)
+    assert set(got) == {r[1] for r in stated} | {"v/third_party/other-1.2/f.ts", "w/third_party/kit/f.py"}
+    assert got["v/third_party/other-1.2/f.ts"] == ["vendored place"] and got[stated[0][1]] == ["vendored header", "vendored place"]
+
+
+def test_checkouts_of_one_origin_prove_nothing(spark):
+    body = [f"export const v{i} = compute({i}, other{i}); // some longer line of code number {i}\n" * 9 for i in range(12)]
+    tree = [(f"src/m{i}.ts" if i % 2 else f"lib/m{i}.ts", body[i]) for i in range(10)]
+    checkouts = [(w, f"{w}/{p}", t) for w in ("a", "b", "c") for p, t in tree] + [("b", "b/src/new.ts", body[10])]
+    assert found(spark, checkouts) == {}
+    # The same library in a tree of another origin is a copy in all of them.
+    other = [("z", "z/libs/kit/m1.ts", body[1]), ("z", "z/src/own.ts", body[11])]
+    assert set(found(spark, checkouts + other)) == {f"{w}/src/m1.ts" for w in "abc"} | {"z/libs/kit/m1.ts"}
+
+
+def test_equal_long_files_beside_different_short_ones(spark):
+    long = "const value = compute(other); // a long enough line of code\n" * 6
+    rows = [(w, f"{w}/vnd/{n}.ts", t) for w in "ab" for n, t in (("x", long), ("y", f"export const own{w} = 1;\n"))]
+    assert set(found(spark, rows)) == {"a/vnd/x.ts", "b/vnd/x.ts"}
+    small = [f"export {{ name{i}, another{i}, third{i} }} from './module{i}/with/a/path/{i}';\n" for i in range(6)]
+    rows = [(w, f"{w}/vnd/f{i}.ts", t) for w in "ab" for i, t in enumerate(small)] + [(w, f"{w}/own.ts", f"export const {w} = 1;\n" * 20) for w in "ab"]
+    assert set(found(spark, rows)) == {f"{w}/vnd/f{i}.ts" for w in "ab" for i in range(6)}
+
+
 def test_merkle_finds_shared_subtrees(spark):
     body = [f"export const v{i} = compute({i}, other{i}); // some longer line of code number {i}\n" * 9 for i in range(5)]
     rows = [("a", "a/src/kit/x.ts", body[0]), ("a", "a/src/kit/deep/y.ts", body[1]), ("a", "a/src/own.ts", body[2])]

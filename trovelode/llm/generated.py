@@ -1,10 +1,14 @@
 """Files that nobody wrote by hand here: generated, minified, vendored, or data kept as code.
 
-Three kinds of evidence. The header of a file states that a tool produced it or that it is a copy from outside. Its layout
-gives it away: minified lines, resolved dependencies, accessors as generators write them, tables of numbers. And whole
-directories are copies: Merkle hashes are computed bottom-up over the directory trees, and a subtree with the same hash in
-the trees of unrelated workspaces is vendored code. Hashes are of contents without their leading comment, white space and
-line ends, so a copy under a new licence header is the same.
+Vendored code is found by Merkle hashes, computed bottom-up over the directory trees: a file or directory with the same
+hash in the trees of unrelated workspaces is a copy. Hashes are of contents without their leading comment, white space and
+line ends, so a copy under a new licence header is the same. Workspaces that have most of their files in common, at the
+same places, are checkouts or forks of one origin and prove nothing about each other.
+
+Header and layout rules tell the rest. A header states that a tool produced the file or that it is a copy from outside;
+a licence or a copyright by itself states neither. The layout gives away minified lines, resolved dependencies, accessors
+as generators write them, and tables of data. The name of a directory is no evidence by itself: it counts where the corpus
+bears it out, i.e. where a good share of all the files in directories of that name have evidence of their own.
 
 A directory's hash combines those of its entries by sums, which Spark aggregates before the shuffle; a directory with any
 number of entries is no large group.
@@ -22,12 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovelode.llm.neardup import connected
 from trovelode.tables import checkpointed, spread
 
 #: Characters, as compared, that a shared file or directory has at least to be evidence; all files count in the hashes.
 EVIDENCE_FROM = 200
 
-#: Directories and file names that tools write to, and directories for outside code.
+#: Two workspaces are of one origin if so large a share of the files of the smaller one is at the same places in the other.
+ONE_ORIGIN_FROM = 0.8
+#: A directory's name counts if so large a share of the files in such directories has evidence of its own, with
+#: ``NAME_PRIOR`` more files without any added, so that one or two files prove nothing.
+NAME_FROM, NAME_PRIOR = 0.2, 5
+
+#: Directories that tools write to, names that tools give to their files, and directories for outside code.
 GENERATED_DIRECTORIES = {"generated", "__generated__", "gen", "autogen", "codegen-out", "generated-sources", "auto-generated"}
 GENERATED_NAMES = re.compile(
     r"(_pb2(_grpc)?\.pyi?|\.pb\.(go|cc|h|ts|js)|\.pb-c\.[ch]|\.(generated|g|gen|designer|auto)\.\w+|_generated\.\w+|OuterClass\.java)$",
@@ -35,9 +46,8 @@ GENERATED_NAMES = re.compile(
 )
 VENDORED_DIRECTORIES = {
     "vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "deps", "node_modules",
-    "bower_components", "site-packages",
+    "bower_components", "site-packages", "ext",
 }
-VENDORED_PAIRS = {("lib", "ext"), ("libs", "ext")}
 
 #: What a line of a header says. ``TOOL`` stands for a name and what follows it up to the end of the statement.
 _GENERATED_HEADER = re.compile(
@@ -60,12 +70,16 @@ _VENDORED_HEADER = re.compile(
       | ^\W*(imported|verbatim|unmodified)\s+copy\s+of\b
       | ^\W*upstream:\s+\S
       | ^\W*local\s+modifications:
-      | copyright\s+\(c\)\s+the\s+\S+\s+project\s+authors
       | \bv\d+\.\d+[\w.]*\s+\|\s+\(c\)\s
-      | ^\W*license:\s+[A-Z]
     """,
     re.I | re.X,
 )
+#: Lines that together are the banner of a package: its version and its licence.
+_VERSION = re.compile(r"^\W*version:\s+v?\d+\.\d", re.I)
+_LICENCE = re.compile(r"^\W*licen[cs]e:\s+[A-Z]", re.I)
+#: A project that owns the text, and the distribution that has its licence.
+_OWNER = re.compile(r"copyright\s+\(c\)\s+the\s+(\S+)\s+project\s+authors", re.I)
+_DISTRIBUTION = re.compile(r"\blicen[cs]e\b.*\bin\s+the\s+(\S+)\s+(distribution|repository|source\s+tree)\b", re.I)
 #: Lines as generators write them.
 _GENERATED_BODY = re.compile(
     r"""^_[A-Z0-9_]+\s*=\s*_descriptor\.|_descriptor\.FieldDescriptor\(|serialized_start=\d
@@ -80,7 +94,7 @@ _DATA = re.compile(
     r"""^\s*[\[({]?\s*(["']?[-+]?(0x[0-9a-f]+|\d[\d_.]*(e[-+]?\d+)?)["']?\s*,\s*){3,}.*$
       | ^\s*INSERT\s+INTO\s+\S+(\s*\([^)]*\))?\s+VALUES\s*\(
       | ^\s*\{\s*("[\w$]{1,24}"\s*:\s*("[^"]*"|[-+\d.eE]+|true|false|null)\s*,?\s*){3,}\}\s*,?\s*$
-      | ^[\s"'+]*[A-Za-z0-9+/]{56,}={0,2}["'\s,;+\\]*$
+      | ^[\s"'+]*([rbu]{1,2}["'])?[A-Za-z0-9+/]{56,}={0,2}["'\s,;+\\]*$
     """,
     re.I | re.X,
 )
@@ -121,13 +135,10 @@ def reasons(path: str, text: str) -> list[str]:
     head = header(text)
     if any(_GENERATED_HEADER.search(line) for line in head):
         found.append("generated header")
-    if any(_VENDORED_HEADER.search(line) for line in head):
+    if any(_VENDORED_HEADER.search(line) for line in head) or is_foreign(path, head):
         found.append("vendored header")
-    parts = path.lower().split("/")
-    if GENERATED_DIRECTORIES.intersection(parts[:-1]) or GENERATED_NAMES.search(path):
-        found.append("generated place")
-    if VENDORED_DIRECTORIES.intersection(parts[:-1]) or VENDORED_PAIRS.intersection(zip(parts, parts[1:-1])):
-        found.append("vendored place")
+    if GENERATED_NAMES.search(path):
+        found.append("generated name")
     lines = [line for line in text.splitlines() if line.strip()]
     if lines:
         size = sum(map(len, lines))
@@ -146,6 +157,21 @@ def reasons(path: str, text: str) -> list[str]:
     return found
 
 
+def is_foreign(path: str, head: list[str]) -> bool:
+    """Whether a header names another project as the owner, twice, or is the banner of a package with its version."""
+    if any(map(_VERSION.search, head)) and any(map(_LICENCE.search, head)):
+        return True
+    owners = {m.group(1).lower() for m in map(_OWNER.search, head) if m} - {path.split("/", 1)[0].lower()}
+    return bool(owners) and any(m.group(1).lower() in owners for m in map(_DISTRIBUTION.search, head) if m)
+
+
+def conventional(path: str) -> list[str]:
+    """Names of directories for generated or outside code that a path goes through. The latter hold a directory for each
+    package, so a file right in one of them is none."""
+    parts = path.lower().split("/")[1:-1]
+    return [f"generated place {d}" for d in parts if d in GENERATED_DIRECTORIES] + [f"vendored place {d}" for d in parts[:-1] if d in VENDORED_DIRECTORIES]
+
+
 def bare(text: str) -> str:
     """The content without leading comments, white space and line ends."""
     lines = text.lstrip("﻿").splitlines()
@@ -161,26 +187,29 @@ def bare(text: str) -> str:
 
 
 def judged(files: DataFrame) -> DataFrame:
-    """(path, workspace, reasons array, content_hash long, n_chars int) of each file; hash and size are those of :func:`bare`."""
+    """(path, workspace, reasons array, names array, content_hash long, n_chars int) of each file: why it counts, the
+    conventional names in its path, and hash and size of :func:`bare`."""
     source = spread(files.select("path", "workspace", "content").where("path is not null and content is not null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            why, hashes, sizes = [], [], []
+            why, names, hashes, sizes = [], [], [], []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 why.append(reasons(path, text))
+                names.append(sorted(set(conventional(path))))
                 rest = bare(text)
                 digest = xxhash.xxh64_intdigest(rest.encode("utf-8", "surrogatepass"))
                 hashes.append(digest - (1 << 64) * (digest >> 63))
                 sizes.append(len(rest))
+            strings = pa.list_(pa.string())
             columns = [
-                batch.column("path"), batch.column("workspace"), pa.array(why, pa.list_(pa.string())), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()),
+                batch.column("path"), batch.column("workspace"), pa.array(why, strings), pa.array(names, strings), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["path", "workspace", "reasons", "content_hash", "n_chars"])
+            yield pa.RecordBatch.from_arrays(columns, ["path", "workspace", "reasons", "names", "content_hash", "n_chars"])
 
-    return source.mapInArrow(run, "path string, workspace string, reasons array<string>, content_hash long, n_chars int")
+    return source.mapInArrow(run, "path string, workspace string, reasons array<string>, names array<string>, content_hash long, n_chars int")
 
 
 def _directory(path: Column) -> Column:
@@ -232,20 +261,63 @@ def merkle(files: DataFrame) -> DataFrame:
     return tree
 
 
-def shared_subtrees(tree: DataFrame) -> DataFrame:
-    """(workspace, path, directory, workspaces long): files and directories with the same hash in several workspaces.
+def origins(rows: DataFrame) -> DataFrame | None:
+    """(workspace, origin long) of the workspaces that are checkouts or forks of one origin; None if there are none.
 
-    Those with little in them are no evidence: an empty or one-line file is the same in many trees.
+    Each file is compared with the first and the last workspace, by name, that has it at the same place, so there is no
+    list of holders and no pair of workspaces but those; links are then followed to all of a family. What two have in
+    common must be most of the smaller and not lie in one directory only, or be all of both.
+    """
+    place = F.expr("substring(path, length(workspace) + 2)")
+    files = rows.where("workspace is not null and n_chars > 0").select("workspace", place.alias("place"), "content_hash").distinct()
+    sizes = files.groupBy("workspace").agg(F.count(F.lit(1)).alias("size"))
+    holders = files.groupBy("place", "content_hash").agg(F.min("workspace").alias("low"), F.max("workspace").alias("high")).where("low != high")
+    met = files.join(holders, ["place", "content_hash"]).select(
+        "workspace", F.explode(F.array_distinct(F.array("low", "high"))).alias("other"), F.substring_index("place", "/", 1).alias("top")
+    )
+    common = met.where("workspace != other").groupBy("workspace", "other").agg(F.count(F.lit(1)).alias("common"), F.min("top").alias("low"), F.max("top").alias("high"))
+    # What lies in one directory alone may be a copied library, unless it is all there is.
+    most = (F.col("common") >= F.least("size", "other_size") * F.lit(ONE_ORIGIN_FROM)) & (F.col("low") != F.col("high"))
+    related = (
+        common.join(sizes, "workspace")
+        .join(sizes.select(F.col("workspace").alias("other"), F.col("size").alias("other_size")), "other")
+        .where(most | (F.col("common") == F.greatest("size", "other_size")))
+        .select(F.xxhash64("workspace").alias("a"), F.xxhash64("other").alias("b"))
+    )
+    related = checkpointed(related)
+    if related.isEmpty():
+        return None
+    family = connected(related).toDF("number", "origin")
+    return sizes.select("workspace", F.xxhash64("workspace").alias("number")).join(family, "number").select("workspace", "origin")
+
+
+def shared_subtrees(tree: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """(workspace, path, directory, origins long): files and directories with the same hash in unrelated workspaces.
+
+    Those with little in them are no evidence: an empty or one-line file is the same in many trees. ``families`` are the
+    workspaces of common origin.
     """
     tree = tree.where(F.col("n_chars") >= EVIDENCE_FROM)
-    spread_over = tree.groupBy("node_hash").agg(F.count_distinct("workspace").alias("workspaces")).where("workspaces > 1")
-    return tree.join(spread_over, "node_hash").select("workspace", "path", "directory", "workspaces")
+    holders = tree.select("node_hash", "workspace").distinct()
+    if families is None:
+        holders = holders.withColumn("origin", F.xxhash64("workspace"))
+    else:
+        holders = holders.join(families, "workspace", "left").withColumn("origin", F.coalesce("origin", F.xxhash64("workspace")))
+    spread_over = holders.groupBy("node_hash").agg(F.count_distinct("origin").alias("origins")).where("origins > 1")
+    return tree.join(spread_over, "node_hash").select("workspace", "path", "directory", "origins")
+
+
+def proven_names(rows: DataFrame) -> DataFrame:
+    """(name): the conventional names that the corpus bears out. At most one row for each name of the fixed sets."""
+    counts = rows.select(F.explode("names").alias("name"), (F.size("reasons") > 0).alias("own")).groupBy("name")
+    share = F.count_if("own") / (F.count(F.lit(1)) + NAME_PRIOR)
+    return counts.agg(share.alias("share")).where(F.col("share") >= NAME_FROM).select("name")
 
 
 def not_hand_written(files: DataFrame) -> DataFrame:
     """(path, workspace, reasons array): each file that counts as generated, vendored, minified or data, with why."""
     rows = checkpointed(judged(files).distinct())
-    shared = shared_subtrees(merkle(rows)).select("workspace", "path", "directory").distinct()
+    shared = shared_subtrees(merkle(rows), origins(rows)).select("workspace", "path", "directory").distinct()
     # A file lies under each of its directories; only the shared ones, which are few, meet it.
     under = F.transform(
         F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(F.split("path", "/")))),
@@ -255,9 +327,16 @@ def not_hand_written(files: DataFrame) -> DataFrame:
     copies = places.join(shared.select("workspace", F.col("path").alias("place")), ["workspace", "place"], "left_semi").select(
         "path", "workspace"
     )
-    why = rows.select("path", "workspace", "reasons").union(copies.distinct().select("path", "workspace", F.array(F.lit("shared subtree"))))
+    shared_files = copies.distinct().select("path", "workspace", F.lit("shared subtree").alias("why"))
+    # A shared copy is evidence for the names of its directories, too.
+    known = rows.join(shared_files, ["path", "workspace"], "left").select(
+        "path", "workspace", "names", F.when(F.col("why").isNull(), F.col("reasons")).otherwise(F.array_append("reasons", F.col("why"))).alias("reasons")
+    )
+    known = checkpointed(known)
+    named = known.select("path", "workspace", F.explode("names").alias("name")).join(F.broadcast(proven_names(known)), "name")
+    why = known.select("path", "workspace", "reasons").union(named.select("path", "workspace", F.array(F.regexp_extract("name", "^[a-z]+ place", 0))))
     return (
-        why.groupBy("path", "workspace")
+        why.where(F.size("reasons") > 0)
+        .groupBy("path", "workspace")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
-        .where(F.size("reasons") > 0)
     )
