@@ -1,12 +1,15 @@
 """Scoring documents for abusive, hateful or sexual content.
 
 A cumulative-link ordinal regression predicts a grade of severity for each passage: 0 none, 1 insult, 2 demeaning of groups
-or sexual, 3 threat. One set of weights on sparse features (words and runs of two and three words) serves all three ordered
-thresholds; the score is the expected grade, and a document's is that of its worst passage, with a small share for more.
+or sexual, 3 threat. One set of weights on sparse features serves all three ordered thresholds; the score is the expected
+grade, and a document's is that of its worst passage, with a small share for more. Features are words, runs of two and
+three words, parts of five letters of words (which endings, compounds and odd spellings leave whole), and the kinds of
+words that a short lexicon tells: which kinds are in the passage, which two of them, and which stand next to each other.
 
-The model is trained here, on graded phrases that are kept with it and on a bounded sample of labelled documents. A label
-is for the whole document, so of a document labelled toxic the passage with the highest score so far is taken, and passages
-of the others count as grade 0 unless the phrases alone make them certain (some labels are wrong).
+The weights are learned here from a bounded sample of labelled documents. A label is for the whole document and often
+wrong, so the sample is fitted as bags: of a document labelled toxic, the passage with the highest score so far counts, with the
+weight that the model gives to the label being right; passages of the others are of grade 0. What starts this is the lexicon
+alone: single words by kind, and which kinds make abuse together. It holds no sentences.
 
 Words are compared as they sound to a reader: without accents, case, invisible characters and doubled letters, with look-
 alike letters of other scripts, digits and signs for letters undone, and words that were spelled out put together again.
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -31,70 +34,121 @@ from pyspark.sql import functions as F
 from trovelode.tables import spread
 
 #: Bounds of the training sample: documents labelled toxic and not.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 500, 1000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 GRADES = 3
-FLAG_FROM = 0.3
-#: Weight of the passage without features, as a share of that of all phrases.
-FEATURELESS = 0.3
-
-#: Graded phrases. Names stand for themselves; ``_`` stands for any word.
-PHRASES: dict[int, str] = {
-    0: """
-        kill the child process first then kill the orphans | the slave replica was promoted after its master died | a dumb terminal
-        penetration test | brute force over the batch is stupidly slow but correct | bastard spacing in the header | the crap-out counter
-        abort nuke the cache and shoot down the stale entries | i feel like an idiot for missing it | the ugliest bug i have ever fixed
-        strip it bare no hooks no bindings | adult tickets and child tickets | never pass a naked pointer | the hash is salted and poisoned
-        the dirty page is flushed when the victim thread is executed | cockpit view and class assessment | sorry that was stupid of me
-        i was too dumb to read the manual | my own fault i am an idiot | silly me | what an idiot i am | i could kick myself | male and female connector
-        sex and age are optional columns | the gender field is not indexed | hang the pod until it dies | dead code was killed | abuse of notation
-        hate speech filter | the fat client | black list and white list | suicide of the worker process | grab the screen shot | race condition
-        il faut tuer le processus fils | un test d'intrusion | le module esclave suit le maître | le champ sexe n'est pas indexé | je suis bête
-        quel idiot je fais | c'est une solution idiote mais elle marche | der dumme proxy leitet den strom einfach weiter
-        das geschlecht steht im filter | sklave und meister heissen jetzt replik und quelle | der kindprozess wird getötet wenn der kanal hängt
-        ich idiot habe es übersehen | ich war zu blöd dafür | das ist eine blöde idee von mir | el campo sexo no se indexa | el esclavo sigue al maestro
-        hay que matar el proceso hijo | es una solución tonta pero funciona | soy un idiota | qué tonto soy | prueba de penetración
+FLAG_FROM = 0.4
+#: Share of the labels "toxic" that are taken to be right before anything is known.
+LABELS_RIGHT = 0.65
+#: Passages of documents labelled clean that look as abusive so far: all they have gets weights, and they count more.
+DOUBTFUL_FROM, DOUBTFUL_WEIGHT = 0.15, 10.0
+
+#: Words by kind, in English, German, French and Spanish, as :func:`_folded` writes them.
+LEXICON: dict[str, str] = {
+    # Said to or of a person; hardly ever said otherwise.
+    "insult": """
+        arsehole asshole bastard bellend bitch bullshitter cretin cunt degenerate dickhead dimwit dipshit douchebag dumbass dumbfuck fag faggot fuckwit
+        halfwit idiot imbecile jackass jerk loser moron motherfucker nitwit nigger nincompoop pig prick retard scumbag shithead simpleton slut sonofabitch
+        tosser tramp twat wanker whore
+        arschloch bastard depp drecksau dummkopf fotze hackfresse hurensohn idiot idiotin miststuck missgeburt nutte penner sau scheisskerl schlampe schwachkopf
+        schwuchtel spast trottel versager vollidiot vollpfosten wichser
+        abruti batard bouffon conasse connard connasse cretin debile encule fumier gouine ordure pede petasse poufiasse putain salaud salope tocard
+        cabron capullo cretino gilipollas idiota imbecil malnacido maricon payaso pendejo puta subnormal tarado zorra
     """,
-    1: """
-        you useless idiot | you pathetic loser | you stinking moron | you worthless imbecile | you brainless halfwit | you lazy cretin | you disgusting asshole
-        you miserable slut | what a useless degenerate go back to school | what a brainless moron | stop crying loser everybody laughs at you behind your back
-        shut your mouth you | shut up you moron | only a halfwit would write | only a parasite would write | lick my arse you | can kiss my ass | fuck off
-        fuck you | fuck off and take your _ with you | you are a useless scumbag and nobody wants your _ here | your _ is shit and so are you
-        you and your dumbass friends | you and your idiot friends | every moron in this team | that bastard of a reviewer | whoever wrote this _ is a lazy cretin
-        your fucking _ and you | you pathetic wanker learn what a _ is | have the brain of a maggot | smell like a sewer | make me want to vomit
-        deserve nothing but a kick in the teeth | your mother should be ashamed of what she raised | son of a bitch | piece of shit | this scumbag
-        things crawl out of a drain with more brain than you and they smelled better | dear maintainer you idiot | this degenerate | this loser
-        halt die fresse du trottel | du bist ein nutzloser vollidiot lass die finger | du elender schwachkopf | du bist ein _ vollidiot | du dummer idiot | verpiss dich samt deinem
-        so einen scheissdreck schreibt nur ein schwachkopf | du arschloch | leck mich am arsch | du hurensohn | fick dich | du wichser
-        ferme ta gueule espèce d'abruti | va te faire foutre avec ton | quel connard a écrit | tu es un pauvre crétin laisse | tu es un _ crétin | tu es un gros crétin | tu es une merde | espèce de con | sale crétin
-        enculé | fils de pute | cierra el hocico pedazo de idiota | eres un asqueroso imbécil deja | eres un inútil imbécil | eres un _ imbécil deja | eres un pobre idiota | maldito imbécil
-        qué gilipollas escribió | vete a la mierda con tu | hijo de puta | pedazo de mierda
-        moron | asshole | dumbass | scumbag | halfwit | wanker | cretin | imbecile | trottel | vollidiot | schwachkopf | scheissdreck | arschloch | wichser
-        fresse | connard | abruti | d'abruti | ta gueule | foutre | crétin | gilipollas | imbécil | cierra el hocico | cabrón
+    # Rough words that are abuse only when they are for somebody.
+    "rough": """
+        brainless clueless contemptible crazy dirty disgusting dumb filthy gross hideous hopeless idiotic incompetent lazy miserable nasty pathetic
+        repulsive revolting rotten silly stinking stupid ugly useless vile worthless
+        bescheuert blod dumm dumme ekelhaft elend erbarmlich faul hasslich nutzlos verblodet widerlich wertlos
+        bete con conne inutile minable moche nul pauvre pitoyable sale stupide
+        asqueroso estupido feo inutil patetico sucio tonta tonto
     """,
-    2: """
-        women are too stupid | immigrants are vermin and should be kept away from | foreigners breed like rats and now they want | belong in the gutter not in
-        send refugees back where they came from the filthy lot | those people the disgusting scum | only women and other scum | the worthless scum
-        this is what happens when _ are allowed to code subhuman | subhuman | keep cripples out of the reviews their sort was born to sweep floors
-        we don't want them in this project they are too stupid to count | people like you should not be allowed to have children let alone
-        old people the lazy scum | believers the stinking scum | northerners and other scum | dirty foreigners
-        she moaned while he pushed his cock deeper into her | he licked her bare tits until she came | send me your nude photos and i will
-        free porn clips hot naked girls click | horny singles near your _ want sex tonight | come to my room after the call leave the skirt behind all night
-        you bitch open your legs | i want to rip off your clothes and fuck you on the | suck my dick
-        dieses pack von zugewanderten gehört aus dem _ gejagt | frauen sind zu blöd für einen _ ab in die küche mit ihnen | ausländer raus
-        schick mir nacktbilder dann lese ich | gratis pornos und geile frauen gleich neben | ces étrangers sont de la vermine dehors
-        les femmes sont trop connes pour lire | envoie tes photos nue et je relis | vidéos porno gratuites filles chaudes ce soir
-        esos extranjeros son basura fuera del | las mujeres son demasiado tontas para un | mándame fotos desnuda y reviso | videos porno gratis y chicas calientes hoy
+    "vulgar": """
+        arse ass bollocks bullshit crap damn fuck fucked fucker fucking piss shit shitty
+        arsch dreck fick ficken fresse kacke klappe leck maul piss scheiss scheisse verpiss verreck
+        chier cul emmerde foutre gueule merde nique niquer
+        chinga cojones culo follar hocico joder mierda
     """,
-    3: """
-        go hang yourself | get lost and die | ought to be wiped out | will be crying when i am done with you | touch the _ again i will find out where you live
-        i will find you and kill you | somebody ought to break your fingers one by one so that we never see | i hope you burn with your | i hope you choke on it
-        i hope you get run over | should be locked up and forgotten | should be beaten with a | do us all a favour and never breathe near a keyboard again
-        the world would be a better place if you just went to sleep and didn't wake up | kill yourself | nobody would miss you
-        an deiner stelle würde ich von der brücke springen dich vermisst ohnehin keiner | ich weiss wo du wohnst | geh sterben
-        le monde irait mieux si tu ne te réveillais pas demain | je sais où tu habites | va crever
-        nadie te echaría de menos si no despertaras mañana | sé dónde vives | ojalá te mueras
+    "group": """
+        arabs asians believers blacks catholics christians cripples foreigners gays girls gypsies homosexuals immigrants jews lesbians migrants
+        muslims refugees transgender women
+        auslander behinderte christen fluchtlinge frauen juden moslems muslime schwule schwarze turken weiber zigeuner zugewanderte zugewanderten
+        arabes etrangers femmes gitans handicapes homosexuels immigres juifs migrants musulmans noirs refugies
+        extranjeros gitanos homosexuales inmigrantes judios moros mujeres musulmanes negros refugiados sudacas
+    """,
+    # What groups are called.
+    "less": """
+        animals apes barbarians beasts breed cockroaches criminals disease filth garbage greedy inferior liars maggots monkeys parasites plague rats savages
+        scum subhuman subhumans swine terrorists thieves trash vermin
+        abschaum affen gesindel parasiten pack ratten schmarotzer tiere ungeziefer untermenschen
+        cafards parasites racaille rats singes vermine voleurs
+        alimanas basura cucarachas escoria monos parasitos plaga ratas
+    """,
+    "sexual": """
+        blowjob boobs clit cock cum cumshot deepthroat dick dildo erection fingered gangbang handjob horny masturbate milf nudes orgasm penis porn
+        porno pussy sexy striptease threesome tits topless vagina xxx
+        geil geile muschi nacktbilder nacktfoto nacktfotos porno pornos sexfilme titten
+        baise nichons porno
+        polla porno tetas verga
+    """,
+    # What people do in such texts; usual words elsewhere.
+    "lust": """
+        bare bed deeper fingers free girls hot legs lick licked lips moaned naked night nude photos rubbed sex skirt sucked thighs tonight undress
+        bett bilder foto fotos frauen heute nackt nackte nacht sex
+        bite chatte chaude chaudes filles gratuites lit nue nues photos seins sexe soir suce
+        caliente calientes cama chicas coger desnuda desnudas desnudo fotos gratis hoy noche sexo
+    """,
+    "harm": """
+        beat beaten behead bleed bomb break burn choke crush cut drown executed gun hang hunt hurt kill knife lynch murder punch rape shoot skin
+        slaughter smash stab strangle throat wiped
+        abstechen aufhangen erschiessen erschlagen schlagen springen sterben totschlagen umbringen verbrennen verrecken vergasen
+        creve crever egorger mourir pendre tuer
+        ahorcar degollar matar matare morir morirte mueras muere
+    """,
+    "you": """
+        you your yours yourself yourselves youre u ur
+        du dich dir dein deine deinem deinen deiner ihr euch euer eure
+        tu te toi ton ta tes vous votre vos
+        ti tus usted ustedes eres
+    """,
+    "self": """
+        i im ive me my myself mine
+        ich mich mir mein meine meinem meinen meiner
+        je moi mon ma mes
+        yo mi mis soy
+    """,
+    # A wish, an order or a plan that makes harm a threat.
+    "wish": """
+        deserve deserves go gonna hope ought should will wish
+        geh hoffentlich soll sollen sollte sollten werde
+        devrait devraient vais va
+        deberia deberian ojala vete voy
     """,
 }
+#: Parts that make a word that begins or ends with them one of their kind.
+PARTS = {
+    "fuck": "vulgar", "scheiss": "vulgar", "arsch": "insult", "idiot": "insult", "whore": "insult", "bitch": "insult", "nigg": "insult", "faggot": "insult",
+    "porn": "sexual", "shit": "vulgar", "hure": "insult", "wichs": "insult", "gilipoll": "insult", "conna": "insult", "encul": "insult", "retard": "insult",
+}
+#: Places between two kinds that are near each other, and kinds that are no pair by themselves.
+NEAR, PERSONS = 5, {"you", "self", "wish"}
+#: Kinds whose words count in all forms.
+FORMED = {"insult", "rough", "vulgar", "sexual"}
+#: Kinds that make a grade together, and those that don't.
+TOGETHER = [
+    (("insult", "you"), 1), (("rough", "you"), 1), (("vulgar", "you"), 1), (("insult", "rough"), 1), (("insult", "vulgar"), 1), (("rough", "rough", "you"), 1),
+    (("insult", "insult"), 1), (("insult", "less"), 1), (("vulgar", "less"), 1), (("less", "you"), 1), (("insult", "wish"), 1),
+    (("group", "less"), 2), (("group", "insult"), 2), (("group", "rough"), 2), (("group", "vulgar"), 2), (("less", "rough"), 2), (("less", "less"), 2),
+    (("sexual", "lust"), 2), (("sexual", "vulgar"), 2), (("sexual", "you"), 2), (("sexual", "sexual"), 2), (("lust", "lust", "you"), 2), (("lust", "vulgar"), 2), (("lust", "insult"), 2),
+    (("harm", "you", "wish"), 3), (("harm", "insult"), 3), (("harm", "group", "wish"), 3), (("harm", "less"), 3), (("harm", "harm", "you"), 3),
+    (("rough",), 0), (("group",), 0), (("lust",), 0), (("less",), 0), (("harm",), 0), (("wish",), 0), (("you",), 0), (("self",), 0), (("self", "rough"), 0), (("self", "insult"), 0),
+    (("harm", "wish"), 0), (("harm", "harm"), 0), (("you", "wish"), 0), (("self", "wish"), 0), (("group", "lust"), 0), (("lust", "lust"), 0), (("you", "self"), 0),
+    (("group", "wish"), 0), (("group", "you"), 0), (("lust", "you"), 0), (("harm", "you"), 0), (("rough", "wish"), 0), (("harm", "rough"), 0),
+]
+#: Weight of a row of kinds against one of a word.
+TOGETHER_WEIGHT = 20.0
+
+#: The grade of a word of a kind that tells by itself.
+ALONE = {"insult": 1, "vulgar": 1, "sexual": 2}
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOKALIKE = str.maketrans("аеіоресхуѕԁɡһјклмнтвАВЕІКМНОРСТХУαεικνορτυχΑΒΕΗΙΚΜΝΟΡΤΥΧ", "aeiopecxysdghjklmhtbabeikmhopctxyaeiknoptuxabehikmnoptyx")
@@ -191,10 +245,78 @@ class _Words(dict):
         return self.split(self.text(text))
 
 
-def features(words: list[str]) -> set[str]:
-    """Words and runs of two and three words; numbers are left out."""
+@lru_cache(maxsize=1)
+def lexicon() -> dict[str, tuple[str, ...]]:
+    """The kinds of each word of the lexicon."""
+    kinds: dict[str, list[str]] = {}
+    for kind, text in LEXICON.items():
+        for word in text.split():
+            if kind not in kinds.setdefault(word, []):
+                kinds[word].append(kind)
+    return {word: tuple(k) for word, k in kinds.items()}
+
+
+@lru_cache(maxsize=1 << 16)
+def kinds_of(word: str) -> tuple[str, ...]:
+    """The kinds of a word: its own, those of a word of the lexicon in singular or plural or, for words that are said
+    to persons, in another form, or those of a part that it begins or ends with."""
+    known = lexicon()
+    if word in known:
+        return known[word]
+    if len(word) > 4 and word.isalpha():
+        for form in (word + "s", word[:-1] if word[-1] == "s" else ""):
+            if found := known.get(form):
+                return found
+        for form in (word[:-1], word[:-2]):
+            if len(form) > 4 and (found := known.get(form)) and not FORMED.isdisjoint(found):
+                return found
+        for part, kind in PARTS.items():
+            if word.startswith(part) or word.endswith(part):
+                return (kind,)
+    return ()
+
+
+@lru_cache(maxsize=1 << 16)
+def word_features(word: str) -> tuple[str, ...]:
+    """A word, and its parts of five letters with its borders marked; a number has none."""
+    if word[0].isdigit():
+        return ()
+    marked = f"^{word}$"
+    return (word, *{f"#{marked[i : i + 5]}" for i in range(len(marked) - 4)}) if len(word) > 4 else (word,)
+
+
+def kind_features(kinds: list[tuple[str, ...]]) -> set[str]:
+    """Kinds in a passage, pairs of them or of one twice near each other, and runs of two and three places with kinds; ``_`` is a place without one."""
+    found: set[str] = set()
+    near: list[tuple[int, str]] = []
+    for place, ks in enumerate(kinds):
+        for k in ks:
+            found.add(f"@{k}")
+            found.update(f"@{min(k, other)}+{max(k, other)}" for at, other in near if place - at <= NEAR and (k != other or k not in PERSONS))
+        near.extend((place, k) for k in ks)
+    first = [ks[0] if ks else "_" for ks in kinds]
+    for i, a in enumerate(first):
+        b = first[i + 1] if i + 1 < len(first) else "_"
+        c = first[i + 2] if i + 2 < len(first) else "_"
+        if a != "_" and b != "_":
+            found.add(f"@{a} {b}")
+        if a != "_" and c != "_":
+            found.add(f"@{a} {b} {c}")
+    return found
+
+
+def _runs(words: list[str], length: int) -> Iterator[str]:
+    """Runs of so many words, numbers left out."""
     words = [w for w in words if not w[0].isdigit()]
-    return {*words, *map(" ".join, zip(words, words[1:])), *map(" ".join, zip(words, words[1:], words[2:]))}
+    return map(" ".join, zip(*(words[i:] for i in range(length))))
+
+
+def features(words: list[str]) -> set[str]:
+    """All features of a passage."""
+    found = {f for w in set(words) for f in word_features(w)}
+    found.update(_runs(words, 2), _runs(words, 3))
+    kinds = [kinds_of(w) for w in words if not w[0].isdigit()]
+    return found | kind_features(kinds) if any(kinds) else found
 
 
 class Model(NamedTuple):
@@ -206,73 +328,87 @@ class Model(NamedTuple):
         """The expected grade of a passage with these features."""
         return self.grade(sum(self.weights.get(f, 0.0) for f in found))
 
+    def abusive(self, found: Iterable[str]) -> float:
+        """The probability of any grade above 0."""
+        total = sum(self.weights.get(f, 0.0) for f in found)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total - self.thresholds[0]))))
+
     def grade(self, total: float) -> float:
         """The expected grade at a sum of weights; 0 is that of a passage without any feature that has a weight."""
         return sum(1 / (1 + math.exp(-max(-30.0, min(30.0, total - t)))) for t in self.thresholds)
 
 
-def fit(rows: list[tuple[set[str], int, float]], words: tuple[str, ...], used: set[str], rounds: int = 300, decay: float = 2e-4) -> Model:
+def fit(
+    rows: list[tuple[set[str], int, float]], words: tuple[str, ...], used: set[str], rounds: int = 200, decay: tuple[float, float] = (1e-4, 1e-3), start: Model | None = None
+) -> Model:
     """Weights and ordered thresholds that fit graded feature sets, each with its weight: P(grade >= k) = s(x w - t_k).
 
-    Only the features in ``used`` get weights; the others, which no graded phrase or passage has, tell nothing.
+    Only the features in ``used`` get weights. ``decay`` pulls the weights to 0: those of kinds and words of the lexicon, and the others. ``start`` is
+    a model to go on from.
     """
     names = sorted(used)
     index = {f: i for i, f in enumerate(names)}
-    present = [[index[f] for f in sorted(found & used)] for found, _, _ in rows]
-    columns = np.array([i for p in present for i in p], np.int64)
+    # A feature that every row has, so that no row is without one; it keeps the weight 0.
+    present = [[len(names), *(index[f] for f in found if f in index)] for found, _, _ in rows]
     sizes = np.array([len(p) for p in present])
+    columns = np.fromiter((i for p in present for i in p), np.int64, int(sizes.sum()))
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     lines = np.repeat(np.arange(len(rows)), sizes)
+    by_column = np.argsort(columns, kind="stable")
+    lines_of = lines[by_column]
+    filled, firsts = np.unique(columns[by_column], return_index=True)
     grade = np.array([g for _, g, _ in rows])
     weight = np.array([w for _, _, w in rows])
     weight = weight / weight.sum()
-    w = np.zeros(len(names))
+    w = np.zeros(len(names) + 1)
+    pull = np.array([decay[0] if f[0] == "@" or f in lexicon() else decay[1] for f in names] + [0.0])
     low, gaps = 1.0, np.zeros(GRADES - 1)  # thresholds low, low + e^gap, ...
-    m, v = np.zeros(len(names) + GRADES), np.zeros(len(names) + GRADES)
+    if start is not None:
+        for f, value in start.weights.items():
+            w[index[f]] = value
+        low, gaps = start.thresholds[0], np.log(np.diff(start.thresholds))
+    m, v = np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES)
     above = (grade[:, None] >= np.arange(1, GRADES + 1)[None, :]).astype(float)
     for step in range(1, rounds + 1):
         thresholds = low + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        total = np.bincount(lines, w[columns], len(rows))
+        total = np.add.reduceat(w[columns], begins)
         p = 1 / (1 + np.exp(-np.clip(total[:, None] - thresholds[None, :], -30, 30)))
         error = weight[:, None] * (p - above)
-        gw = np.bincount(columns, error.sum(1)[lines], len(names)) + decay * w
+        gw = pull * w
+        gw[filled] += np.add.reduceat(error.sum(1)[lines_of], firsts)
+        gw[-1] = 0.0
         gt = -error.sum(0)
         glow, ggap = gt.sum(), np.array([gt[k + 1 :].sum() * np.exp(gaps[k]) for k in range(GRADES - 1)])
         g = np.concatenate((gw, [glow], ggap))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w -= move[: len(names)]
-        low -= move[len(names)]
-        gaps = np.clip(gaps - move[len(names) + 1 :], -3, 2)
+        w -= move[: len(w)]
+        low -= move[len(w)]
+        gaps = np.clip(gaps - move[len(w) + 1 :], -3, 2)
     thresholds = low + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
     keep = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}
     return Model(keep, tuple(float(t) for t in thresholds), words)
 
 
-@lru_cache(maxsize=1)
-def seed_words() -> tuple[str, ...]:
-    """The words of the phrases of grade 1 and more that tell something: not too short, not in phrases of grade 0."""
-    plain = _Words(())
-    clean = {w for line in plain.passages(PHRASES[0].replace("|", "\n")) for w in line}
-    return tuple(sorted({w for g in (1, 2, 3) for line in plain.passages(PHRASES[g].replace("|", "\n")) for w in line if len(w) > 2} | {"idiot", "sex", "porn"} | clean))
-
-
-def _phrases(words: _Words) -> list[tuple[set[str], int, float]]:
-    rows = []
-    for grade, text in PHRASES.items():
-        for phrase in text.replace("\n", " | ").split("|"):
-            # A gap splits a phrase, so that no run of words goes across it.
-            found = set().union(*(features(p) for part in phrase.split(" _ ") for p in words.passages(part))) if phrase.strip() else set()
-            if found:
-                rows.append((found, grade, 3.0))
+def _seeds() -> list[tuple[set[str], int, float]]:
+    """Graded rows that the lexicon makes: each word that tells by itself, and kinds together without any words."""
+    rows: list[tuple[set[str], int, float]] = []
+    for word, kinds in lexicon().items():
+        grade = max((ALONE.get(k, 0) for k in kinds), default=0)
+        rows.append((set(word_features(word)) | kind_features([kinds]), grade, 1.0))
+    for kinds, grade in TOGETHER:
+        found = {f for f in kind_features([(k,) for k in kinds]) if " " not in f}
+        rows.append((found, grade, TOGETHER_WEIGHT))
+    rows.append((set(), 0, TOGETHER_WEIGHT))
     return rows
 
 
 def train(labelled: Iterable[tuple[str, int]]) -> Model:
-    """A model from the phrases and from (text, toxic) of labelled documents."""
-    known = seed_words()
+    """A model from the lexicon and (text, toxic) of labelled documents."""
+    known = tuple(sorted(w for w, kinds in lexicon().items() if set(kinds) - {"you", "self", "wish"}))
     words = _Words(known)
-    seeds = _phrases(words)
-    docs = [(words.passages(text), toxic) for text, toxic in labelled if text]
+    seeds = _seeds()
+    docs = [([p for p in words.passages(text) if p], toxic) for text, toxic in labelled if text]
     seen: dict[frozenset[str], int] = {}
     for passages, toxic in docs:
         if not toxic:
@@ -280,55 +416,89 @@ def train(labelled: Iterable[tuple[str, int]]) -> Model:
                 key = frozenset(features(p))
                 if key:
                     seen[key] = seen.get(key, 0) + 1
-    background = [(set(k), 0, 1.0) for k in seen]
-    # The background as a whole weighs ten times the phrases, so that ordinary words of phrases tell nothing.
-    share = 10.0 * sum(w for _, _, w in seeds) / max(1, len(background))
-    used = set().union(*(f for f, _, _ in seeds))
-    # A passage without any feature is of grade 0, also where no or few documents are labelled.
-    seeds = [*seeds, (set(), 0, FEATURELESS * sum(w for _, _, w in seeds))]
-    model = fit(seeds + [(f, 0, share) for f, _, _ in background], known, used)
-    for _ in range(2):
+    background = [(set(k), 1 + math.log(n)) for k, n in seen.items()]
+    bags = [[features(p) for p in passages] for passages, toxic in docs if toxic and passages]
+    told = _told(bags, [passages for passages, toxic in docs if not toxic])
+    counts: dict[str, int] = {}
+    for found in [*(f for f, _ in background), *(f for bag in bags for f in bag)]:
+        for f in found:
+            counts[f] = counts.get(f, 0) + 1
+    share = 8.0 * sum(w for _, _, w in seeds) / max(1.0, sum(n for _, n in background))
+    # Weights go to the features of the lexicon and to those that several passages have, at least one of them in a
+    # document labelled toxic or doubtful.
+    several = {f for f, n in counts.items() if n > 1}.union(*(f for f, _, _ in seeds))
+    background = [(f & several, n) for f, n in background]
+    bags = [[f & several for f in bag] for bag in bags]
+    used = set().union(*(f for f, _, _ in seeds), *(f for bag in bags for f in bag))
+    model = fit(seeds + [(f, 0, share * n) for f, n in background], known, used)
+    for _ in range(3):
+        doubtful = [model.severity(f) >= DOUBTFUL_FROM for f, _ in background]
+        used |= {f for (found, _), is_doubtful in zip(background, doubtful) if is_doubtful for f in found}
+        clean = [(f, 0, share * n * (DOUBTFUL_WEIGHT if is_doubtful else 1)) for (f, n), is_doubtful in zip(background, doubtful)]
         worst = []
-        for passages, toxic in docs:
-            if toxic and passages:
-                best = max((features(p) for p in passages), key=model.severity)
-                if (value := model.severity(best)) >= FLAG_FROM:
-                    worst.append((best, max(1, round(value)), 1.0))
-        trusted = [(f, 0, share) for f, _, _ in background if model.severity(f) < FLAG_FROM]
-        model = fit(seeds + worst + trusted, known, used.union(*(f for f, _, _ in worst)))
+        for bag in bags:
+            p, best = max(((max(model.abusive(f), 0.9 * told(f)), i) for i, f in enumerate(bag)))
+            # The label is right with this probability, given how abusive its worst passage looks.
+            p = min(0.99, p)
+            right = LABELS_RIGHT * p / (LABELS_RIGHT * p + (1 - LABELS_RIGHT) * (1 - p))
+            worst.append((bag[best], max(1, min(GRADES, round(model.severity(bag[best])))), 2.0 * right))
+        model = fit(seeds + worst + clean, known, used, rounds=80, start=model)
     return model
 
 
+def _told(bags: list[list[set[str]]], clean: list[list[list[str]]]) -> Callable[[set[str]], bool]:
+    """Whether a passage of a document labelled toxic says what others of those say and hardly any labelled clean: at least
+    three of its runs of three words are in two more of them, and ten times as often as in the others."""
+    toxic_in: dict[str, int] = {}
+    for bag in bags:
+        for f in set().union(*bag):
+            if f.count(" ") == 2 and f[0] != "@":
+                toxic_in[f] = toxic_in.get(f, 0) + 1
+    often = {f: n for f, n in toxic_in.items() if n > 2}
+    clean_in = dict.fromkeys(often, 0)
+    for passages in clean:
+        for f in {f for words in passages for f in _runs(words, 3) if f in clean_in}:
+            clean_in[f] += 1
+    telling = {f for f, n in often.items() if clean_in[f] * 10 * len(bags) <= n * len(clean)}
+    return lambda found: sum(f in telling for f in found) >= 3
+
+
+class _Known(dict):
+    """Of each word, the features that have a weight and its kinds; kept once found."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        if len(self) >= 200_000:
+            self.clear()
+        found = self[word] = tuple(f for f in word_features(word) if f in self.weights), () if word[0].isdigit() else kinds_of(word)
+        return found
+
+
 class Scorer:
     """Scores texts with a model: every passage by all its features that have a weight."""
 
     def __init__(self, model: Model):
-        self.model, self.words = model, _Words(model.words)
-        self.nothing = model.grade(0.0)
-        self.weighted = frozenset(w for f in model.weights for w in f.split(" "))  # every feature is made of these
-        self.singles = {f: w for f, w in model.weights.items() if " " not in f}
-        self.runs: dict[str, dict[str, tuple[str, ...]]] = {}  # by the first two words: the third ones, "" for none
-        for feature in model.weights:
-            first, *rest = feature.split(" ")
-            if rest:
-                thirds = self.runs.setdefault(first, {})
-                thirds[rest[0]] = (*thirds.get(rest[0], ()), rest[1] if len(rest) > 1 else "")
+        self.model, self.words, self.known = model, _Words(model.words), _Known(model.weights)
+        self.pairs = frozenset(" ".join(f.split(" ")[:2]) for f in model.weights if " " in f and f[0] != "@")
 
     def severity(self, words: list[str]) -> float:
         """What the model gives for all features of a passage, of which only those with a weight are made."""
-        weights, runs = self.model.weights, self.runs
-        if self.weighted.isdisjoint(words):
-            return self.nothing
+        weights, known = self.model.weights, self.known
         words = [w for w in words if not w[0].isdigit()]
-        found = self.singles.keys() & words
+        looked = [known[w] for w in words]
+        found = {f for own, _ in looked for f in own}
         for i, (first, second) in enumerate(zip(words, words[1:])):
-            if first in runs and second in runs[first]:
-                for third in runs[first][second]:
-                    if not third:
-                        found.add(f"{first} {second}")
-                    elif i + 2 < len(words) and words[i + 2] == third:
-                        found.add(f"{first} {second} {third}")
-        return self.model.grade(sum(weights[f] for f in sorted(found))) if found else self.nothing
+            pair = f"{first} {second}"
+            if pair in self.pairs:
+                found.add(pair)
+                if i + 2 < len(words):
+                    found.add(f"{pair} {words[i + 2]}")
+        if any(kinds for _, kinds in looked):
+            found |= kind_features([kinds for _, kinds in looked])
+        return self.model.grade(sum(weights[f] for f in sorted(found) if f in weights))
 
     def score(self, text: str | None) -> float:
         """The worst passage's expected grade, and a tenth of what else is above the flag."""
