@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from trovelode.llm import abuse
@@ -144,9 +145,9 @@ def test_threats_in_usual_words_are_learned_from_labels():
 
 def test_every_passage_is_scored_by_all_its_features(scorer):
     model = scorer.model
-    for text in (*CLEAN, *ABUSIVE[:9], "i will find you 2 times and kill you", "the quorum waits", "would 4 nobody would miss you"):
-        for words in scorer.words.passages(text):
-            assert scorer.severity(words) == pytest.approx(model.severity(abuse.features(words)))
+    for text in (*CLEAN, *ABUSIVE, "i will find you 2 times and kill you", "the quorum waits", "would 4 nobody would miss you", "You moron. You, moron!\nm0ron moron"):
+        words = scorer.words.passages(text)
+        assert [model.grade(t) for t in scorer.totals(text)] == pytest.approx([model.severity(abuse.features(p)) for p in words])
     assert 0 < model.severity(()) < abuse.FLAG_FROM
 
 
@@ -158,13 +159,11 @@ def test_threats_are_graver_than_insults(scorer):
 
 def test_ordinal_fit_recovers_grades():
     rng = random.Random(1)
-    rows = []
-    for _ in range(300):
-        grade = rng.randint(0, 3)
-        rows.append(({f"g{grade}", f"noise{rng.randint(0, 9)}"}, grade, 1.0))
-    model = abuse.fit(rows, (), {f for r in rows for f in r[0]}, rounds=400)
-    found = [model.severity({f"g{k}"}) for k in range(4)]
-    assert found == sorted(found) and all(abs(v - k) < 0.6 for k, v in enumerate(found))
+    grades = [rng.randint(0, 3) for _ in range(300)]
+    rows = [np.array([g, 4 + rng.randint(0, 9)]) for g in grades]
+    model = abuse.fit(rows, np.array(grades), np.ones(300), np.ones(14, bool), np.full(14, 1e-4), rounds=400)
+    found = model.severity(model.totals([np.array([g]) for g in range(4)]))
+    assert list(found) == sorted(found) and all(abs(v - k) < 0.8 for k, v in enumerate(found)), found
 
 
 def test_edge_rows(spark):

@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -37,6 +37,10 @@ from trovelode.tables import spread
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 GRADES = 3
 FLAG_FROM = 0.4
+#: Features of smaller weight are left out of the model.
+LEAST_WEIGHT = 0.05
+#: How much weights are drawn to 0: those of kinds and words of the lexicon, and the others.
+DECAY = (1e-4, 1e-3)
 #: Share of the labels "toxic" that are taken to be right before anything is known.
 LABELS_RIGHT = 0.65
 #: Passages of documents labelled clean that look as abusive so far: all they have gets weights, and they count more.
@@ -129,6 +133,7 @@ PARTS = {
     "fuck": "vulgar", "scheiss": "vulgar", "arsch": "insult", "idiot": "insult", "whore": "insult", "bitch": "insult", "nigg": "insult", "faggot": "insult",
     "porn": "sexual", "shit": "vulgar", "hure": "insult", "wichs": "insult", "gilipoll": "insult", "conna": "insult", "encul": "insult", "retard": "insult",
 }
+_PART = re.compile(f"^({'|'.join(PARTS)})|({'|'.join(PARTS)})$")
 #: Places between two kinds that are near each other, and kinds that are no pair by themselves.
 NEAR, PERSONS = 5, {"you", "self", "wish"}
 #: Kinds whose words count in all forms.
@@ -160,7 +165,8 @@ _SPELLED = re.compile(r"(?<![^\W_])(?:ss|[^\W\d_])(?:([ ._\-*·])(?:ss|[^\W\d_])
 _TOKEN = re.compile(r"[^\W_](?:[\w'’@#*$!€]*[^\W_])?")
 _PLAIN = re.compile(r"[a-z]+\Z")
 _RUN = re.compile(r"(.)\1{2,}")
-_BREAK = re.compile(r"[.!?;…]+[\s\"”»')\]]+|[\r\n]+|[.!?]+\Z")
+#: A token, or what ends a passage.
+_PIECE = re.compile(_TOKEN.pattern + r"""|[.!?;…]+[\s"”»')\]]+|[\r\n]+""")
 
 
 class _Fold(dict):
@@ -197,10 +203,10 @@ class _Words(dict):
     def __missing__(self, token: str) -> str:
         if len(self) >= 300_000:
             self.clear()
-        normal = self[token] = self._normal(token)
+        normal = self[token] = self.normal(token)
         return normal
 
-    def _normal(self, token: str) -> str:
+    def normal(self, token: str) -> str:
         if _PLAIN.match(token) and not _RUN.search(token):
             return token
         token = token.replace("’", "'")
@@ -237,12 +243,15 @@ class _Words(dict):
     def text(self, text: str) -> str:
         return _SPELLED.sub(self._joined, _folded(text))
 
-    def split(self, text: str) -> list[list[str]]:
-        """The normal words of each passage, a sentence or line, of what :meth:`text` gives."""
-        return [[self[t] for t in _TOKEN.findall(part)] for part in _BREAK.split(text) if part and not part.isspace()]
-
     def passages(self, text: str) -> list[list[str]]:
-        return self.split(self.text(text))
+        """The normal words of each passage, a sentence or line."""
+        found: list[list[str]] = [[]]
+        for piece in _PIECE.findall(self.text(text)):
+            if piece[0].isalnum():
+                found[-1].append(self[piece])
+            else:
+                found.append([])
+        return [p for p in found if p]
 
 
 @lru_cache(maxsize=1)
@@ -270,13 +279,11 @@ def kinds_of(word: str) -> tuple[str, ...]:
         for form in (word[:-1], word[:-2]):
             if len(form) > 4 and (found := known.get(form)) and not FORMED.isdisjoint(found):
                 return found
-        for part, kind in PARTS.items():
-            if word.startswith(part) or word.endswith(part):
-                return (kind,)
+        if found := _PART.search(word):
+            return (PARTS[found[1] or found[2]],)
     return ()
 
 
-@lru_cache(maxsize=1 << 16)
 def word_features(word: str) -> tuple[str, ...]:
     """A word, and its parts of five letters with its borders marked; a number has none."""
     if word[0].isdigit():
@@ -311,12 +318,14 @@ def _runs(words: list[str], length: int) -> Iterator[str]:
     return map(" ".join, zip(*(words[i:] for i in range(length))))
 
 
-def features(words: list[str]) -> set[str]:
-    """All features of a passage."""
-    found = {f for w in set(words) for f in word_features(w)}
-    found.update(_runs(words, 2), _runs(words, 3))
+def features(words: list[str]) -> list[str]:
+    """All features of a passage, each once, but the parts once for each different word that has them."""
+    found = [f for w in dict.fromkeys(words) for f in word_features(w)]
+    found.extend({*_runs(words, 2), *_runs(words, 3)})
     kinds = [kinds_of(w) for w in words if not w[0].isdigit()]
-    return found | kind_features(kinds) if any(kinds) else found
+    if any(kinds):
+        found.extend(kind_features(kinds))
+    return found
 
 
 class Model(NamedTuple):
@@ -328,53 +337,70 @@ class Model(NamedTuple):
         """The expected grade of a passage with these features."""
         return self.grade(sum(self.weights.get(f, 0.0) for f in found))
 
-    def abusive(self, found: Iterable[str]) -> float:
-        """The probability of any grade above 0."""
-        total = sum(self.weights.get(f, 0.0) for f in found)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total - self.thresholds[0]))))
-
     def grade(self, total: float) -> float:
         """The expected grade at a sum of weights; 0 is that of a passage without any feature that has a weight."""
         return sum(1 / (1 + math.exp(-max(-30.0, min(30.0, total - t)))) for t in self.thresholds)
 
 
-def fit(
-    rows: list[tuple[set[str], int, float]], words: tuple[str, ...], used: set[str], rounds: int = 200, decay: tuple[float, float] = (1e-4, 1e-3), start: Model | None = None
-) -> Model:
-    """Weights and ordered thresholds that fit graded feature sets, each with its weight: P(grade >= k) = s(x w - t_k).
+class Features(dict):
+    """Numbers of features, given as they come up."""
+
+    def __missing__(self, name: str) -> int:
+        number = self[name] = len(self)
+        return number
+
+    def of(self, found: Iterable[str]) -> np.ndarray:
+        return np.fromiter((self[f] for f in found), np.int32)
+
+
+class Fitted(NamedTuple):
+    """Weights by feature number, and the ordered thresholds."""
+
+    weights: np.ndarray
+    thresholds: np.ndarray
 
-    Only the features in ``used`` get weights. ``decay`` pulls the weights to 0: those of kinds and words of the lexicon, and the others. ``start`` is
-    a model to go on from.
+    def totals(self, rows: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.weights[r].sum() for r in rows])
+
+    def severity(self, totals: np.ndarray) -> np.ndarray:
+        return (1 / (1 + np.exp(-np.clip(totals[:, None] - self.thresholds[None, :], -30, 30)))).sum(1)
+
+    def abusive(self, totals: np.ndarray) -> np.ndarray:
+        """The probability of any grade above 0."""
+        return 1 / (1 + np.exp(-np.clip(totals - self.thresholds[0], -30, 30)))
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, used: np.ndarray, pull: np.ndarray, rounds: int = 200, start: Fitted | None = None) -> Fitted:
+    """Weights and ordered thresholds that fit graded rows of feature numbers, each with its weight: P(grade >= k) = s(x w - t_k).
+
+    Only the features marked in ``used`` get weights. ``pull`` draws the weight of each to 0. ``start`` is what to go on from.
     """
-    names = sorted(used)
-    index = {f: i for i, f in enumerate(names)}
+    size = len(used)
+    index = np.full(size, -1, np.int64)
+    index[used] = np.arange(int(used.sum()))
+    n = int(used.sum())
     # A feature that every row has, so that no row is without one; it keeps the weight 0.
-    present = [[len(names), *(index[f] for f in found if f in index)] for found, _, _ in rows]
+    present = [np.append(c[c >= 0], n) for c in (index[r] for r in rows)]
     sizes = np.array([len(p) for p in present])
-    columns = np.fromiter((i for p in present for i in p), np.int64, int(sizes.sum()))
+    columns = np.concatenate(present)
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    lines = np.repeat(np.arange(len(rows)), sizes)
     by_column = np.argsort(columns, kind="stable")
-    lines_of = lines[by_column]
+    lines_of = np.repeat(np.arange(len(rows)), sizes)[by_column]
     filled, firsts = np.unique(columns[by_column], return_index=True)
-    grade = np.array([g for _, g, _ in rows])
-    weight = np.array([w for _, _, w in rows])
     weight = weight / weight.sum()
-    w = np.zeros(len(names) + 1)
-    pull = np.array([decay[0] if f[0] == "@" or f in lexicon() else decay[1] for f in names] + [0.0])
+    w, own_pull = np.zeros(n + 1), np.append(pull[used], 0.0)
     low, gaps = 1.0, np.zeros(GRADES - 1)  # thresholds low, low + e^gap, ...
     if start is not None:
-        for f, value in start.weights.items():
-            w[index[f]] = value
-        low, gaps = start.thresholds[0], np.log(np.diff(start.thresholds))
+        w[:n] = start.weights[used]
+        low, gaps = float(start.thresholds[0]), np.log(np.diff(start.thresholds))
     m, v = np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES)
-    above = (grade[:, None] >= np.arange(1, GRADES + 1)[None, :]).astype(float)
+    above = (grades[:, None] >= np.arange(1, GRADES + 1)[None, :]).astype(float)
     for step in range(1, rounds + 1):
         thresholds = low + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
         total = np.add.reduceat(w[columns], begins)
         p = 1 / (1 + np.exp(-np.clip(total[:, None] - thresholds[None, :], -30, 30)))
         error = weight[:, None] * (p - above)
-        gw = pull * w
+        gw = own_pull * w
         gw[filled] += np.add.reduceat(error.sum(1)[lines_of], firsts)
         gw[-1] = 0.0
         gt = -error.sum(0)
@@ -386,133 +412,229 @@ def fit(
         low -= move[len(w)]
         gaps = np.clip(gaps - move[len(w) + 1 :], -3, 2)
     thresholds = low + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-    keep = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}
-    return Model(keep, tuple(float(t) for t in thresholds), words)
+    weights = np.zeros(size)
+    weights[used] = w[:n]
+    return Fitted(weights, thresholds)
 
 
-def _seeds() -> list[tuple[set[str], int, float]]:
+def _seeds() -> list[tuple[list[str], int, float]]:
     """Graded rows that the lexicon makes: each word that tells by itself, and kinds together without any words."""
-    rows: list[tuple[set[str], int, float]] = []
+    rows: list[tuple[list[str], int, float]] = []
     for word, kinds in lexicon().items():
         grade = max((ALONE.get(k, 0) for k in kinds), default=0)
-        rows.append((set(word_features(word)) | kind_features([kinds]), grade, 1.0))
+        rows.append(([*word_features(word), *kind_features([kinds])], grade, 1.0))
     for kinds, grade in TOGETHER:
-        found = {f for f in kind_features([(k,) for k in kinds]) if " " not in f}
-        rows.append((found, grade, TOGETHER_WEIGHT))
-    rows.append((set(), 0, TOGETHER_WEIGHT))
+        rows.append(([f for f in kind_features([(k,) for k in kinds]) if " " not in f], grade, TOGETHER_WEIGHT))
+    rows.append(([], 0, TOGETHER_WEIGHT))
     return rows
 
 
 def train(labelled: Iterable[tuple[str, int]]) -> Model:
     """A model from the lexicon and (text, toxic) of labelled documents."""
-    known = tuple(sorted(w for w, kinds in lexicon().items() if set(kinds) - {"you", "self", "wish"}))
-    words = _Words(known)
+    known = tuple(sorted(w for w, kinds in lexicon().items() if set(kinds) - PERSONS))
+    words, numbers = _Words(known), Features()
     seeds = _seeds()
-    docs = [([p for p in words.passages(text) if p], toxic) for text, toxic in labelled if text]
-    seen: dict[frozenset[str], int] = {}
-    for passages, toxic in docs:
-        if not toxic:
-            for p in passages:
-                key = frozenset(features(p))
-                if key:
+    seed_rows = [numbers.of(found) for found, _, _ in seeds]
+    seed_grades, seed_weights = (np.array([s[i] for s in seeds], float) for i in (1, 2))
+    of_lexicon = len(numbers)
+    bags, seen, clean_docs = [], {}, []
+    for text, toxic in labelled:
+        passages = words.passages(text) if text else []
+        if passages and toxic:
+            bags.append([numbers.of(features(p)) for p in passages])
+        elif passages:
+            own = [numbers.of(features(p)) for p in passages]
+            clean_docs.append(np.unique(np.concatenate(own)))
+            for row in own:
+                if len(row):
+                    key = np.sort(row).tobytes()
                     seen[key] = seen.get(key, 0) + 1
-    background = [(set(k), 1 + math.log(n)) for k, n in seen.items()]
-    bags = [[features(p) for p in passages] for passages, toxic in docs if toxic and passages]
-    told = _told(bags, [passages for passages, toxic in docs if not toxic])
-    counts: dict[str, int] = {}
-    for found in [*(f for f, _ in background), *(f for bag in bags for f in bag)]:
-        for f in found:
-            counts[f] = counts.get(f, 0) + 1
-    share = 8.0 * sum(w for _, _, w in seeds) / max(1.0, sum(n for _, n in background))
+    names, total = list(numbers), len(numbers)
+    background = [np.frombuffer(key, np.int32) for key in seen]
+    often = 1 + np.log(np.array(list(seen.values()), float))
+    flat = [row for bag in bags for row in bag]
+    begins = np.cumsum([0, *(len(bag) for bag in bags)])
+    in_rows = np.bincount(np.concatenate([np.zeros(0, np.int64), *map(np.unique, background), *map(np.unique, flat)]).astype(np.int64), minlength=total)
+    several = in_rows > 1
+    several[:of_lexicon] = True
+    told = _told(bags, clean_docs, names)
+    pull = np.array([DECAY[0] if f[0] == "@" or f in lexicon() else DECAY[1] for f in names])
+    share = 8.0 * seed_weights.sum() / max(1.0, often.sum())
+
+    def marked(rows: Iterable[np.ndarray]) -> np.ndarray:
+        mark = np.zeros(total, bool)
+        for row in rows:
+            mark[row] = True
+        return mark & several
+
     # Weights go to the features of the lexicon and to those that several passages have, at least one of them in a
     # document labelled toxic or doubtful.
-    several = {f for f, n in counts.items() if n > 1}.union(*(f for f, _, _ in seeds))
-    background = [(f & several, n) for f, n in background]
-    bags = [[f & several for f in bag] for bag in bags]
-    used = set().union(*(f for f, _, _ in seeds), *(f for bag in bags for f in bag))
-    model = fit(seeds + [(f, 0, share * n) for f, n in background], known, used)
+    used = marked(flat)
+    used[:of_lexicon] = True
+    zeros = np.zeros(len(background))
+    model = fit(seed_rows + background, np.concatenate((seed_grades, zeros)), np.concatenate((seed_weights, share * often)), used, pull)
     for _ in range(3):
-        doubtful = [model.severity(f) >= DOUBTFUL_FROM for f, _ in background]
-        used |= {f for (found, _), is_doubtful in zip(background, doubtful) if is_doubtful for f in found}
-        clean = [(f, 0, share * n * (DOUBTFUL_WEIGHT if is_doubtful else 1)) for (f, n), is_doubtful in zip(background, doubtful)]
-        worst = []
-        for bag in bags:
-            p, best = max(((max(model.abusive(f), 0.9 * told(f)), i) for i, f in enumerate(bag)))
-            # The label is right with this probability, given how abusive its worst passage looks.
-            p = min(0.99, p)
-            right = LABELS_RIGHT * p / (LABELS_RIGHT * p + (1 - LABELS_RIGHT) * (1 - p))
-            worst.append((bag[best], max(1, min(GRADES, round(model.severity(bag[best])))), 2.0 * right))
-        model = fit(seeds + worst + clean, known, used, rounds=80, start=model)
-    return model
-
-
-def _told(bags: list[list[set[str]]], clean: list[list[list[str]]]) -> Callable[[set[str]], bool]:
-    """Whether a passage of a document labelled toxic says what others of those say and hardly any labelled clean: at least
-    three of its runs of three words are in two more of them, and ten times as often as in the others."""
-    toxic_in: dict[str, int] = {}
-    for bag in bags:
-        for f in set().union(*bag):
-            if f.count(" ") == 2 and f[0] != "@":
-                toxic_in[f] = toxic_in.get(f, 0) + 1
-    often = {f: n for f, n in toxic_in.items() if n > 2}
-    clean_in = dict.fromkeys(often, 0)
-    for passages in clean:
-        for f in {f for words in passages for f in _runs(words, 3) if f in clean_in}:
-            clean_in[f] += 1
-    telling = {f for f, n in often.items() if clean_in[f] * 10 * len(bags) <= n * len(clean)}
-    return lambda found: sum(f in telling for f in found) >= 3
-
-
-class _Known(dict):
-    """Of each word, the features that have a weight and its kinds; kept once found."""
+        doubtful = model.severity(model.totals(background)) >= DOUBTFUL_FROM if background else zeros > 0
+        used |= marked(row for row, is_doubtful in zip(background, doubtful) if is_doubtful)
+        p, grade = model.abusive(model.totals(flat)), model.severity(model.totals(flat)) if flat else zeros
+        p = np.minimum(0.99, np.maximum(p, 0.9 * told)) if flat else zeros
+        worst = [a + int(np.argmax(p[a:b])) for a, b in zip(begins, begins[1:])]
+        # The label is right with this probability, given how abusive its worst passage looks.
+        right = LABELS_RIGHT * p[worst] / (LABELS_RIGHT * p[worst] + (1 - LABELS_RIGHT) * (1 - p[worst])) if worst else zeros[:0]
+        grades = np.clip(np.round(grade[worst]), 1, GRADES) if worst else zeros[:0]
+        model = fit(
+            seed_rows + [flat[i] for i in worst] + background,
+            np.concatenate((seed_grades, grades, zeros)),
+            np.concatenate((seed_weights, 2.0 * right, share * often * np.where(doubtful, DOUBTFUL_WEIGHT, 1.0))),
+            used,
+            pull,
+            rounds=80,
+            start=model,
+        )
+    kept = np.flatnonzero(np.abs(model.weights) > LEAST_WEIGHT)
+    return Model({names[i]: float(model.weights[i]) for i in kept}, tuple(map(float, model.thresholds)), known)
+
+
+def _told(bags: list[list[np.ndarray]], clean: list[np.ndarray], names: list[str]) -> np.ndarray:
+    """Of each passage of the documents labelled toxic, 1 if it says what others of those say and hardly any labelled clean: at
+    least three of its runs of three words are in two more of them, and ten times as often as in the others."""
+    counts = [np.zeros(len(names), np.int64) for _ in range(2)]
+    for count, docs in zip(counts, ([np.unique(np.concatenate(bag)) for bag in bags], clean)):
+        for found in docs:
+            count[found] += 1
+    often = counts[0] > 2
+    telling = often & (counts[1] * 10 * len(bags) <= counts[0] * max(1, len(clean)))
+    telling &= np.array([o and n[0] != "@" and n.count(" ") == 2 for o, n in zip(often, names)], bool)
+    return np.array([float(telling[row].sum() >= 3) for bag in bags for row in bag])
+
+
+class _Token(NamedTuple):
+    """What is known of a token: its normal word, the weight of its own features, its kinds, and the words that make a run
+    with a weight after it: by second word, the weight of the two and the weights by third word."""
+
+    word: str
+    weight: float
+    kinds: tuple[str, ...]
+    after: dict[str, tuple[float, dict[str, float]]] | None
+
+
+#: A number, which has no place in a passage, and the end of one.
+_NUMBER, _END = _Token("0", 0.0, (), None), _Token("", 0.0, (), None)
+
+
+class _Tokens(dict):
+    """What is known of each token as written, None for one that has no weight, kept once found."""
+
+    def __init__(self, model: Model, words: _Words):
+        super().__init__()
+        self.words = words
+        self.own = {f: w for f, w in model.weights.items() if f[0] not in "#@" and " " not in f}
+        self.parts = {f[1:]: w for f, w in model.weights.items() if f[0] == "#"}
+        self.after: dict[str, dict[str, tuple[float, dict[str, float]]]] = {}
+        self.later: set[str] = set()  # words that stand second or third in a run
+        for feature, weight in model.weights.items():
+            if feature[0] != "@" and (run := feature.split(" "))[1:]:
+                two, thirds = self.after.setdefault(run[0], {}).get(run[1], (0.0, {}))
+                if len(run) == 2:
+                    two = weight
+                else:
+                    thirds[run[2]] = weight
+                self.after[run[0]][run[1]] = (two, thirds)
+                self.later.update(run[1:])
+
+    def __missing__(self, token: str) -> _Token | None:
+        if len(self) >= 500_000:
+            self.clear()
+        word = self.words.normal(token) if token[0].isalnum() else ""
+        if not word or word[0].isdigit():
+            known = _NUMBER if word else _END
+        else:
+            weight = self.own.get(word, 0.0)
+            if len(word) > 4:
+                marked, parts = f"^{word}$", self.parts
+                weight += sum([parts[part] for part in {marked[i : i + 5] for i in range(len(marked) - 4)} if part in parts])
+            kinds, after = kinds_of(word), self.after.get(word)
+            known = _Token(word, weight, kinds, after) if weight or kinds or after or word in self.later else None
+        self[token] = known
+        return known
+
+
+class _Kinds(dict):
+    """The weight of what :func:`kind_features` gives, by kinds and the places between them; kept once found."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-        if len(self) >= 200_000:
+    def __missing__(self, key: tuple) -> float:
+        if len(self) >= 100_000:
             self.clear()
-        found = self[word] = tuple(f for f in word_features(word) if f in self.weights), () if word[0].isdigit() else kinds_of(word)
-        return found
+        kinds: list[tuple[str, ...]] = []
+        for own, gap in key:
+            kinds.extend([()] * gap)
+            kinds.append(own)
+        weight = self[key] = sum(self.weights.get(f, 0.0) for f in sorted(kind_features(kinds)))
+        return weight
 
 
 class Scorer:
     """Scores texts with a model: every passage by all its features that have a weight."""
 
     def __init__(self, model: Model):
-        self.model, self.words, self.known = model, _Words(model.words), _Known(model.weights)
-        self.pairs = frozenset(" ".join(f.split(" ")[:2]) for f in model.weights if " " in f and f[0] != "@")
-
-    def severity(self, words: list[str]) -> float:
-        """What the model gives for all features of a passage, of which only those with a weight are made."""
-        weights, known = self.model.weights, self.known
-        words = [w for w in words if not w[0].isdigit()]
-        looked = [known[w] for w in words]
-        found = {f for own, _ in looked for f in own}
-        for i, (first, second) in enumerate(zip(words, words[1:])):
-            pair = f"{first} {second}"
-            if pair in self.pairs:
-                found.add(pair)
-                if i + 2 < len(words):
-                    found.add(f"{pair} {words[i + 2]}")
-        if any(kinds for _, kinds in looked):
-            found |= kind_features([kinds for _, kinds in looked])
-        return self.model.grade(sum(weights[f] for f in sorted(found) if f in weights))
+        self.model, self.words = model, _Words(model.words)
+        self.tokens, self.kinds = _Tokens(model, self.words), _Kinds(model.weights)
+        low, high = -60.0, 60.0
+        for _ in range(60):  # the sum of weights from which a passage is flagged
+            middle = (low + high) / 2
+            low, high = (low, middle) if model.grade(middle) >= FLAG_FROM else (middle, high)
+        self.flag = high
+
+    def _total(self, found: list[tuple[int, _Token]]) -> float:
+        """The sum of the weights of all features of a passage, of whose tokens those that matter are given, with their places."""
+        weights, runs, marks, last, end = {}, {}, [], -1, len(found)
+        for n, (i, (word, weight, kinds, after)) in enumerate(found, 1):
+            weights[word] = weight
+            if kinds:
+                marks.append((kinds, min(NEAR + 1, i - last - 1)))
+                last = i
+            if after is not None and n < end and found[n][0] == i + 1 and (two := after.get(second := found[n][1].word)):
+                runs[word, second] = two[0]
+                if two[1] and n + 1 < end and found[n + 1][0] == i + 2 and (third := found[n + 1][1].word) in two[1]:
+                    runs[word, second, third] = two[1][third]
+        total = sum(weights.values()) + sum(runs.values())
+        return total + self.kinds[tuple(marks)] if marks else total
+
+    def totals(self, text: str) -> list[float]:
+        """The sums of weights of all passages."""
+        totals: list[float] = []
+        place, found = 0, []
+        for known in map(self.tokens.__getitem__, _PIECE.findall(self.words.text(text))):
+            if known is None:
+                place += 1
+            elif known is _END:
+                if found:
+                    totals.append(self._total(found))
+                    found = []
+                elif place:
+                    totals.append(0.0)
+                place = 0
+            elif known is not _NUMBER:
+                found.append((place, known))
+                place += 1
+        if found:
+            totals.append(self._total(found))
+        elif place:
+            totals.append(0.0)
+        return totals
 
     def score(self, text: str | None) -> float:
         """The worst passage's expected grade, and a tenth of what else is above the flag."""
-        if not text:
+        totals = self.totals(text) if text else []
+        if not totals:
             return 0.0
-        worst, more = 0.0, 0.0
-        for passage in self.words.split(self.words.text(text)):
-            if passage:
-                value = self.severity(passage)
-                if value > worst:
-                    worst, value = value, worst
-                if value >= FLAG_FROM:
-                    more += value
-        return min(float(GRADES), worst + 0.1 * more)
+        worst = max(totals)
+        more = sum(self.model.grade(t) for t in totals if t >= self.flag) - (self.model.grade(worst) if worst >= self.flag else 0.0)
+        return min(float(GRADES), self.model.grade(worst) + 0.1 * more)
 
 
 def sample_labelled(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> list[tuple[str, int]]:
