@@ -102,6 +102,13 @@ def test_distances_never_discard_a_pair():
         assert np.abs(table_[i] - table_[i + 1]).max() <= len(a ^ b)
 
 
+def test_of_different_deliveries_the_last_counts(spark):
+    old, new = "one two three four five six seven", "some other words that are not like those"
+    rows = [("a", old, "2024-01-01"), ("a", new, "2024-02-01"), ("b", old, "2024-01-05"), ("c", new, None), ("c", old, "2024-01-02")]
+    df = spark.createDataFrame(rows, "segment_hash string, content string, indexed_at string").selectExpr("segment_hash", "content", "to_timestamp_ntz(indexed_at) as indexed_at")
+    assert [tuple(r) for r in neardup.similar_pairs(df, 0.6).collect()] == [("b", "c")]
+
+
 def test_groups(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen"
     rows = [("a", text), ("b", text), ("c", text + " fourteen"), ("d", "something else entirely that is not at all like it"), ("e", None), ("f", "few words")]

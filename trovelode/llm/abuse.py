@@ -36,7 +36,7 @@ from trovelode.tables import spread
 #: Bounds of the training sample: documents labelled toxic and not.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2000
 GRADES = 3
-FLAG_FROM = 0.4
+FLAG_FROM = 0.6
 #: Features of smaller weight are left out of the model.
 LEAST_WEIGHT = 0.05
 #: How much weights are drawn to 0: those of kinds and words of the lexicon, and the others.

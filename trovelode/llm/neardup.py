@@ -13,7 +13,8 @@ Rarest first makes these groups small. The join's key also holds the band of the
 reference, so that sizes that rule each other out don't meet; runs that many classes share are salted.
 
 Defined results: null contents and texts of fewer than five words have no runs, hence no pair and a class of their own;
-a chunk delivered more than once (equal ``segment_hash``) counts once; rows with a null ``segment_hash`` are left out.
+a chunk delivered more than once (equal ``segment_hash``) counts once, with the text delivered last; rows with a null
+``segment_hash`` are left out. Runs are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ def _sampled(texts: DataFrame, total: int) -> tuple[DataFrame, list[list[int]]]:
 def _shared_runs(chunks: DataFrame) -> DataFrame:
     """What is needed of all chunks, in two kinds of rows: of each chunk (run null) its class, size and distances; of each
     class the runs that it shares with another, with their place in the order of runs. Written to the checkpoint folder."""
-    texts = chunks.select("segment_hash", "content").where("segment_hash is not null and content is not null")
+    at = F.col("indexed_at").cast("timestamp") if "indexed_at" in chunks.columns else F.lit(None).cast("timestamp")
+    texts = chunks.select("segment_hash", "content", at.alias("at")).where("segment_hash is not null and content is not null")
     common, bits = _sampled(texts, chunks.count())
     references = _references(bits)
 
@@ -173,16 +175,16 @@ def _shared_runs(chunks: DataFrame) -> DataFrame:
                 width = table.shape[1]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * width, pa.int32()), pa.array(table.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("segment_hash"), pa.array(classes), pa.array(sizes.astype(np.int32)), flat, lists],
-                    ["segment_hash", "class", "n", "distances", "runs"],
+                    [part.column("segment_hash"), part.column("at"), pa.array(classes), pa.array(sizes.astype(np.int32)), flat, lists],
+                    ["segment_hash", "at", "class", "n", "distances", "runs"],
                 )
 
-    layout = "segment_hash string, class long, n int, distances array<short>, runs array<long>"
+    layout = "segment_hash string, at timestamp, class long, n int, distances array<short>, runs array<long>"
     found = spread(texts).mapInArrow(run, layout)
     none = F.array(F.lit(None).cast("long"))
     own = F.col("run").isNull()
-    rows = found.select("segment_hash", "class", "n", "distances", F.explode(F.concat(none, "runs")).alias("run")).select(
-        "class", "n", "run", *[F.when(own, F.col(c)).alias(c) for c in ("segment_hash", "distances")]
+    rows = found.select("segment_hash", "at", "class", "n", "distances", F.explode(F.concat(none, "runs")).alias("run")).select(
+        "class", "n", "run", *[F.when(own, F.col(c)).alias(c) for c in ("segment_hash", "at", "distances")]
     )
     placed = rows.join(F.broadcast(common), "run", "left").withColumn(
         "salt",
@@ -193,7 +195,7 @@ def _shared_runs(chunks: DataFrame) -> DataFrame:
     counted = placed.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("run", "salt")))
     place = F.coalesce(F.col("in_sample") + _COMMON, F.col("holders"))
     kept = counted.where(own | F.col("in_sample").isNotNull() | (F.col("holders") > 1))
-    return checkpointed(kept.select("class", "n", "run", "segment_hash", "distances", F.when(~own, place).alias("place")))
+    return checkpointed(kept.select("class", "n", "run", "segment_hash", "at", "distances", F.when(~own, place).alias("place")))
 
 
 def _far_apart(a: Column, b: Column, bound: Column) -> Column:
@@ -206,7 +208,9 @@ def _members_and_pairs(chunks: DataFrame, similarity: float) -> tuple[DataFrame,
     t = similarity
     rows = _shared_runs(chunks)
     own = rows.where("run is null")
-    members = own.groupBy("segment_hash").agg(F.first("class").alias("class"), F.first("n").alias("n"))
+    # Of deliveries of a chunk with different texts the last counts, of those at once the greater class.
+    last = F.max(F.struct(F.col("at").isNotNull(), "at", "class", "n")).alias("last")
+    members = own.groupBy("segment_hash").agg(last).select("segment_hash", "last.class", "last.n")
     table = own.where("n > 0").groupBy("class").agg(F.first("distances").alias("distances"))
 
     sets = rows.where("run is not null").groupBy("class").agg(F.first("n").alias("n"), F.collect_set(F.struct("place", "run")).alias("runs"))
