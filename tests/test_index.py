@@ -54,6 +54,11 @@ def tree(tmp_path):
 def test_scan(spark, tree):
     found = {r["path"]: r for r in scan.read_tree(spark, str(tree)).collect()}
     assert set(found) == {"src/alpha.ts", "src/odd name+1.py", "bytes.md"}
+    for name in ("src/__init__.py", "src/_private/x.py", ".env.example", ".hidden/y.ts", "src/_skip.log.ts"):
+        (tree / name).parent.mkdir(exist_ok=True)
+        (tree / name).write_text("a = 1\n")
+    assert {r["path"] for r in scan.read_tree(spark, str(tree)).collect()} == set(found) | {"src/__init__.py", "src/_private/x.py", ".env.example", ".hidden/y.ts"}
+    assert [r["path"] for r in scan.read_tree(spark, str(tree), path="src/_private/x.py").collect()] == ["src/_private/x.py"]
     assert found["bytes.md"]["content"] == "# caf\ufffd ledger\n"
 
 
@@ -75,12 +80,16 @@ def test_engine_life(spark, tree):
     first = engine.store.generation()
     (tree / "src/alpha.ts").unlink()
     assert engine.index().status == "indexed"
-    assert {r[0] for r in engine.list_files().collect()} == {"src/odd name+1.py"} and engine.store.generation() != first and not first.exists()
+    assert {r[0] for r in engine.list_files().collect()} == {"src/odd name+1.py"} and engine.store.generation() != first
     assert [r["file_path"] for r in engine.rechunk("src/odd name+1.py").collect()] == ["src/odd name+1.py"]
     with pytest.raises(ValueError):
         engine.rechunk("../x")
-    engine.store.optimize(1)
-    assert engine.store.chunks().count() == 1
+    assert engine.rechunk("no/such.py").count() == 0
+    engine.store.optimize(4)
+    assert first.exists()  # the pointer before names it
+    engine.store.optimize()
+    assert engine.store.chunks().count() == 1 and engine.store.meta().buckets == 4 and not first.exists()
+    assert engine.store.postings().where("term = 'harbor'").count() == 1
     engine.clear()
     assert not engine.has_index() and engine.status().status == "standby"
 
@@ -107,11 +116,106 @@ def test_change_of_dimension_starts_anew(spark, tree):
     assert {len(r[0]) for r in engine.store.chunks().select("vector").collect()} == {6}
 
 
-def test_branches_keep_their_manifests(spark, tree):
-    for branch in ("main", "topic/x"):
+class Counting(HashEmbedder):
+    """Writes down each text it embeds; tasks run in other processes, so in files."""
+
+    def __init__(self, dimensions, folder):
+        super().__init__(dimensions)
+        self.folder = folder
+
+    def embed(self, texts):
+        import uuid
+
+        for text in texts:
+            (Path(self.folder) / uuid.uuid4().hex).write_text(text)
+        return super().embed(texts)
+
+
+def of(engine):
+    return {r["file_path"]: r["content"] for r in engine.store.chunks(engine.branch).collect()}
+
+
+def test_branches_keep_their_chunks(spark, tree, tmp_path):
+    """Indexing a, then b with other files, then a again gives a's chunks, and what is unchanged is not embedded again."""
+    embedded = tmp_path / "embedded"
+    embedded.mkdir()
+    for branch in ("a", "main"):
         assert Engine(spark, str(tree), HashEmbedder(8), branch=branch).index().status == "indexed"
-    engine = Engine(spark, str(tree), HashEmbedder(8), branch="main")
-    assert {r[0] for r in engine.store.manifest().select("branch").distinct().collect()} == {"main", "topic/x"}
+    first = of(Engine(spark, str(tree), HashEmbedder(8), branch="a"))
+    old = (tree / "src/alpha.ts").read_text()
+    (tree / "src/alpha.ts").write_text(old.replace("alphaLoader", "betaLoader"))
+    (tree / "src/only_b.ts").write_text(f"export function onlyB(total: number) {{\n{BODY}\n}}\n")
+    # The new branch takes the files of the main one over and embeds only what differs.
+    b = Engine(spark, str(tree), Counting(8, str(embedded)), branch="b")
+    assert b.index().status == "indexed" and len(list(embedded.iterdir())) == 2
+    assert set(of(b)) == {"src/alpha.ts", "src/odd name+1.py", "src/only_b.ts"} and "betaLoader" in of(b)["src/alpha.ts"]
+    assert [r["file_path"] for r in b.search("onlyB", "fts").collect()] == ["src/only_b.ts"]
+    (tree / "src/alpha.ts").write_text(old)
+    (tree / "src/only_b.ts").unlink()
+    a = Engine(spark, str(tree), HashEmbedder(8), branch="a")
+    assert of(a) == first and a.search("onlyB", "fts").count() == 0 and a.search("betaLoader", "vector", min_score=-1.0).count() == 2
+    assert a.index().status == "indexed" and of(a) == first and "betaLoader" in of(b)["src/alpha.ts"]
+    assert {r[0] for r in a.store.manifest().select("branch").distinct().collect()} == {"a", "b", "main"}
+
+
+def test_a_reader_survives_a_writer(spark, tree):
+    engine = Engine(spark, str(tree), HashEmbedder(8))
+    engine.index()
+    reading = engine.store.chunks(engine.branch)
+    before = {r["segment_hash"] for r in reading.collect()}
+    (tree / "src/alpha.ts").unlink()
+    assert engine.index().status == "indexed"
+    assert {r["segment_hash"] for r in reading.collect()} == before and set(of(engine)) == {"src/odd name+1.py"}
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tree):
+    engine = Engine(spark, str(tree), HashEmbedder(8))
+    engine.index()
+    before = engine.store._pointer()["parts"]
+    (tree / "src/odd name+1.py").write_text("def delta(a):\n" + "\n".join(f"    a -= {i}  # pallet tower" for i in range(20)) + "\n")
+    engine.index()
+    after = engine.store._pointer()["parts"]
+    assert len(before) == 2 and sorted(before[b] == after[b] for b in before) == [False, True]
+    assert [r[0] for r in engine.search("pallet", "fts").collect()] == ["src/odd name+1.py"] and engine.search("harbor", "fts").count() == 0
+    assert {r[0] for r in engine.search("ledger", "fts").collect()} == {"src/alpha.ts"}
+
+
+def test_another_process_that_finished_is_enough(spark, tree):
+    engine = Engine(spark, str(tree), HashEmbedder(8))
+    engine.index()
+    generation = engine.store.generation()
+    other = Engine(spark, str(tree), HashEmbedder(8))
+    with engine.lock:
+        assert other.index().status == "indexed" and "finished" in other.state.message
+    assert engine.store.generation() == generation
+    engine.lock.wait = other.lock.wait = 0.01
+    with engine.lock:
+        assert other.index(force=True).status == "error"
+
+
+def test_stored_postings_give_what_a_scan_gives(spark, data, tmp_path):
+    from pyspark.sql import functions as F
+
+    from trovelode.operators import fulltext, listing
+
+    chunks = listing.current_chunks(spark.read.parquet(f"{data}/chunks.parquet")).drop("indexed_at", "workspace")
+    rows = chunks.withColumn("branch", F.lit("main")).withColumn("vector", F.lit(None).cast("array<float>"))
+    store = Store(spark, str(tmp_path / "index"))
+    store.write(rows, spark.createDataFrame([], "branch string, path string, file_hash string"), Meta(0, buckets=5))
+    for prefix in (None, "harbor-ledger/"):
+        want = [(r["segment_hash"], r["score"]) for r in fulltext.search(chunks, "pending ledger token", prefix, 30).collect()]
+        found = fulltext.search_postings(store.postings("main"), *store.stats("main"), "pending ledger token", prefix, 30)
+        assert [(r["segment_hash"], r["score"]) for r in found.collect()] == want and want
+    assert "In(term, [ledger,pending,token])" in found._jdf.queryExecution().toString()
+    assert fulltext.search_postings(store.postings("main"), *store.stats("main"), "?!").count() == 0
+
+
+def test_very_many_ignore_rules(spark):
+    from pyspark.sql import functions as F
+
+    rules = ignore.compile_rules("\n".join(("!" if i % 500 == 7 else "") + f"dir{i}/*.log" for i in range(3000)))
+    paths = [("dir3/a.log",), ("dir507/a.log",), ("dir2999/a.log",), ("other/a.log",)]
+    assert [r[0] for r in spark.createDataFrame(paths, "path string").select(ignore.ignored(F.col("path"), rules)).collect()] == [True, False, True, False]
 
 
 def test_lock(tmp_path):
@@ -146,7 +250,7 @@ def test_stream_upserts(spark, tmp_path, data):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(str(arriving))
-        ingest.upsert_stream(stream, store, str(tmp_path / "progress")).awaitTermination()
+        ingest.upsert_stream(stream, store, str(tmp_path / "progress"), provider=HashEmbedder(6)).awaitTermination()
 
     spark.createDataFrame([("a.ts", "x" * 200), ("b.ts", "y" * 200)], schema).write.parquet(str(arriving / "1"))
     run_ = spark.read.parquet(str(arriving / "1"))
@@ -156,7 +260,8 @@ def test_stream_upserts(spark, tmp_path, data):
     spark.createDataFrame([("a.ts", "z" * 300)], schema).write.mode("append").parquet(str(arriving))
     run()
     assert {r[0]: len(r[1]) for r in store.chunks().select("file_path", "content").collect()} == {"a.ts": 300, "b.ts": 200}
-    assert store.manifest().count() == 2
+    assert store.manifest().count() == 2 and store.meta().indexing_complete and store.meta().indexed_file_count == 2
+    assert {len(r[0]) for r in store.chunks().select("vector").collect()} == {6}
 
 
 def test_stream_windows_agree_with_the_batch(spark, tmp_path, data):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -13,7 +14,9 @@ from trovelode import config
 from trovelode.operators import chunking, diff, fulltext, fusion, grep, listing, vector
 from trovelode.sources import scan
 from trovelode.sources.embed import EmbeddingProvider, HashEmbedder, with_vectors
-from trovelode.sources.store import Busy, IndexMissing, Lock, Meta, Store
+from trovelode.sources.store import MANIFEST_SCHEMA, Busy, IndexMissing, Lock, Meta, Store
+
+log = logging.getLogger(__name__)
 
 RESULT = "file_path string, start_line int, end_line int, code_chunk string, score double, rank int"
 
@@ -71,38 +74,58 @@ class Engine:
             self._tell(status="error", message="indexing is not enabled or not configured")
             return self.state
         try:
-            with self.lock:
-                self._tell(status="indexing", message="", files_processed=0, files_total=0)
-                self._index(force)
+            if not self.lock.acquire(lambda: not force and self._is_current()):
+                self._tell(status="indexed", message="another process has just finished", files_processed=self.store.meta().indexed_file_count)
+                return self.state
         except Busy as error:
             self._tell(status="error", message=str(error))
+            return self.state
+        try:
+            self._tell(status="indexing", message="", files_processed=0, files_total=0)
+            self._index(force)
         except Exception as error:
+            log.exception("indexing failed")
             self._tell(status="error", message=str(error)[:500])
+        finally:
+            self.lock.release()
         return self.state
 
+    def _is_current(self) -> bool:
+        """Whether the index is complete and has this branch."""
+        meta = self.store.meta()
+        return bool(meta and meta.indexing_complete and self.store.usable(self.provider.dimensions)) and not self.store.manifest().where(F.col("branch") == self.branch).isEmpty()
+
     def _index(self, force: bool) -> None:
         fresh = force or not self.store.usable(self.provider.dimensions)
         files = scan.read_tree(self.spark, self.root).persist()
         total = files.count()
         current = files.select("path", "file_hash")
-        if fresh:
-            previous = self.spark.createDataFrame([], "path string, file_hash string")
-            others, kept = None, None
-        else:
-            manifest = self.store.manifest()
-            previous = diff.branch_state(manifest.withColumn("recorded_at", F.lit(0)), self.branch)
-            others = manifest.where(F.col("branch") != self.branch)
-            kept = self.store.chunks()
+        manifest = self.spark.createDataFrame([], MANIFEST_SCHEMA) if fresh else self.store.manifest()
+        # A branch that is new goes on from the main one: its files and their vectors are taken over.
+        known = {r["branch"] for r in manifest.select("branch").distinct().collect()}
+        source = next((b for b in (self.branch, "main", "master") if b in known), None)
+        previous = manifest.where(F.col("branch") == source).select("path", "file_hash")
         changes = diff.diff(previous, current).where("status != 'unchanged'").persist()
         todo = files.join(changes.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
         self._tell(files_total=total)
-        chunks = chunking.chunk_files(todo)
         columns = "file_path start_line end_line content file_hash segment_hash language symbol parent_scope kind vector".split()
-        new = with_vectors(chunks, self.provider).select(*columns)
-        if kept is not None:
-            new = diff.upsert(diff.delete_by_paths(kept.select(*columns), changes.select("path")), new)
+        new = with_vectors(chunking.chunk_files(todo), self.provider).select(F.lit(self.branch).alias("branch"), *columns)
+        touched = None
+        if not fresh:
+            if source == self.branch:
+                # Only the buckets of changed files are written again.
+                touched = [r["b"] for r in changes.select(self.store.bucket(F.col("path")).alias("b")).distinct().collect()]
+                stored = self.store.rows_of(set(touched))
+            else:
+                stored = self.store.chunks()
+            kept = stored.where(F.col("branch") != self.branch)
+            if source is not None:
+                own = stored.where(F.col("branch") == source).select(F.lit(self.branch).alias("branch"), *columns)
+                kept = kept.select("branch", *columns).unionByName(diff.delete_by_paths(own, changes.select("path")))
+            new = kept.select("branch", *columns).unionByName(new)
         own = current.select(F.lit(self.branch).alias("branch"), "path", "file_hash")
-        self.store.write(new, own if others is None else others.unionByName(own), Meta(self.provider.dimensions))
+        meta = Meta(self.provider.dimensions) if fresh else self.store.meta()
+        self.store.write(new, manifest.where(F.col("branch") != self.branch).unionByName(own), meta, touched)
         self.store.complete(total)
         changes.unpersist()
         files.unpersist()
@@ -130,7 +153,13 @@ class Engine:
 
     def has_index(self) -> bool:
         meta = self.store.meta()
-        return bool(meta and meta.indexing_complete and not self.store.chunks().isEmpty())
+        return bool(meta and meta.indexing_complete and not self.store.chunks(self.branch).isEmpty())
+
+    def _text_search(self, query: str, path_prefix: str | None, limit: int) -> DataFrame:
+        """Full text from the stored postings; then the texts of the results alone are read."""
+        found = fulltext.search_postings(self.store.postings(self.branch), *self.store.stats(self.branch), query, path_prefix, limit).collect()
+        scored = self.spark.createDataFrame([(r["segment_hash"], r["score"]) for r in found], "segment_hash string, score double")
+        return fulltext.with_contents(scored, self.store.of_files(sorted({r["file_path"] for r in found}), self.branch), True)
 
     def search(
         self, query: str, mode: str = "hybrid", path_prefix: str | None = None, limit: int = config.DEFAULT_LIMIT, min_score: float = config.DEFAULT_MIN_SCORE
@@ -151,15 +180,20 @@ class Engine:
         try:
             if not self.is_enabled() or not self.has_index():
                 raise IndexMissing("there is no complete index")
-            chunks = self.store.chunks()
+            chunks = self.store.chunks(self.branch)
             vectors = chunks.select(F.col("segment_hash").alias("id"), "vector")
             if mode == "fts":
-                return self._local(fulltext.search(chunks, query, path_prefix, limit))
+                return self._local(self._text_search(query, path_prefix, limit))
             wanted = self.provider.embed([query])[0]
             if mode == "vector":
                 return self._local(vector.search(chunks, vectors, wanted, path_prefix, limit, min_score))
-            return self._local(fusion.hybrid(files, chunks, vectors, query, wanted, path_prefix, limit, min_score))
-        except Exception:
+            text = self._text_search(query, path_prefix, config.overfetch(limit))
+            return self._local(fusion.hybrid(files, chunks, vectors, query, wanted, path_prefix, limit, min_score, text))
+        except IndexMissing:
+            return self._local(grep.grep(files, query, path_prefix, limit)) if mode == "hybrid" else self._nothing()
+        except Exception as error:
+            log.exception("search failed")
+            self._tell(message=str(error)[:500])
             return self._local(grep.grep(files, query, path_prefix, limit)) if mode == "hybrid" else self._nothing()
 
     def _local(self, results: DataFrame) -> DataFrame:
@@ -168,22 +202,22 @@ class Engine:
     # Listings
 
     def list_chunks(self, path: str | None = None, limit: int = 50) -> DataFrame:
-        return listing.list_chunks(self.store.chunks(), path, limit)
+        return listing.list_chunks(self.store.chunks(self.branch), path, limit)
 
     def list_files(self) -> DataFrame:
-        return listing.list_files(self.store.chunks())
+        return listing.list_files(self.store.chunks(self.branch))
 
     def rechunk(self, path: str, limit: int = 50) -> DataFrame:
         """Fresh chunks of one file, without the index; a path that leads out of the tree is refused."""
         if PurePosixPath(path).is_absolute() or ".." in PurePosixPath(path).parts:
             raise ValueError("the path leads out of the tree")
-        files = scan.read_tree(self.spark, self.root).where(F.col("path") == path)
+        files = scan.read_tree(self.spark, self.root, path=path)
         return chunking.chunk_files(files).orderBy("start_line", "end_line", "segment_hash").limit(limit)
 
     def stats(self) -> dict:
         """Files listed at the last run, also those without chunks, and distinct files that have chunks."""
         meta = self.store.meta()
-        stored = self.store.chunks().select("file_path").distinct().count() if meta else 0
+        stored = self.store.chunks(self.branch).select("file_path").distinct().count() if meta else 0
         return {"file_count": meta.indexed_file_count if meta else 0, "stored_files": stored}
 
     def status(self) -> IndexState:

@@ -42,6 +42,45 @@ def postings(chunks: DataFrame) -> DataFrame:
     )
 
 
+def placed_postings(chunks: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, term, segment_hash, file_path, start_line, end_line, tf, length, positions): postings with all that a search
+    needs of a chunk besides its text. A chunk that is given twice for the same ``keep`` counts once."""
+    own = ["segment_hash", "file_path", "start_line", "end_line"]
+    once = chunks.where("content is not null and segment_hash is not null").dropDuplicates([*keep, "segment_hash"])
+    words = once.select(*keep, *own, tokens(F.col("content")).alias("tokens")).select(
+        *keep, *own, F.size("tokens").alias("length"), F.posexplode("tokens").alias("position", "term")
+    )
+    return words.groupBy(*keep, "term", *own, "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+
+
+def lengths(chunks: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, n_chunks, n_tokens): how many chunks with text there are, each once, and how many tokens they have."""
+    once = chunks.where("content is not null and segment_hash is not null").select(*keep, "segment_hash", F.size(tokens(F.col("content"))).alias("length"))
+    return once.dropDuplicates([*keep, "segment_hash"]).groupBy(*keep).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("length").alias("n_tokens"))
+
+
+def search_postings(
+    postings: DataFrame, n_chunks: int, average_length: float, query: str, path_prefix: str | None = None, limit: int | None = config.DEFAULT_LIMIT
+) -> DataFrame:
+    """(segment_hash, file_path, start_line, end_line, score): what :func:`search` gives, without the texts, from stored postings.
+
+    Only the rows of the query's terms are read, and no text. In how many chunks each term is comes from those rows too: one
+    small row for each term.
+    """
+    terms = query_terms(query)
+    hits = postings.where(F.col("term").isin(terms))
+    holders = {r["term"]: r["count"] for r in hits.groupBy("term").count().collect()}
+    k1, b = config.BM25_K1, config.BM25_B
+    idf = F.lit(0.0)
+    for term, count in holders.items():
+        idf = F.when(F.col("term") == term, F.lit(math.log(1 + (n_chunks - count + 0.5) / (count + 0.5)))).otherwise(idf)
+    share = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(average_length or 1.0)))
+    chosen = hits.where(F.col("file_path").startswith(path_prefix)) if path_prefix else hits
+    scored = chosen.groupBy("segment_hash", "file_path", "start_line", "end_line").agg(F.round(F.sum(share), 9).alias("score"))
+    ordered = scored.orderBy(F.desc("score"), "segment_hash")
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: (n_chunks, n_tokens, average_length)."""
     length = F.size(tokens(F.col("content")))

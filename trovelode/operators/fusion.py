@@ -59,12 +59,17 @@ def hybrid(
     path_prefix: str | None = None,
     limit: int = config.DEFAULT_LIMIT,
     min_score: float = config.DEFAULT_MIN_SCORE,
+    text: DataFrame | None = None,
 ) -> DataFrame:
-    """Vector (weight 1), full text (0.5) and grep (0.5), each with more rows than asked for, fused in one plan."""
+    """Vector (weight 1), full text (0.5) and grep (0.5), each with more rows than asked for, fused in one plan.
+
+    ``text`` are results of full text that the caller has already, as from stored postings.
+    """
     more = config.overfetch(limit)
+    text = fulltext.search(chunks, query, path_prefix, more) if text is None else text
     channels = [
         ranked(vector.search(chunks, vectors, query_vector, path_prefix, more, min_score), 0, 1.0),
-        ranked(fulltext.search(chunks, query, path_prefix, more), 1, 0.5),
+        ranked(text, 1, 0.5),
         ranked(grep.grep(files, query, path_prefix, more), 2, 0.5),
     ]
     return fuse(reduce(DataFrame.unionByName, channels), limit=limit, payload=("code_chunk",))

@@ -503,6 +503,17 @@ _scored = f"""
 """
 
 
+@query("t2_postings_top", f"SELECT * FROM ({_bm25(TEXT_QUERY)}) WHERE starts_with(file_path, '{PREFIX}') ORDER BY score DESC, segment_hash LIMIT 20")
+def t2_postings_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from postings as an index has them, with the texts of the results fetched after."""
+    texts = chunks(spark, sf_dir, "file_path", "start_line", "end_line", "content").drop("indexed_at")
+    words = fulltext.placed_postings(texts, [])
+    sizes = fulltext.lengths(texts.withColumn("all", F.lit(1)), ["all"]).first()
+    scored = fulltext.search_postings(words, sizes["n_chunks"], sizes["n_tokens"] / sizes["n_chunks"], TEXT_QUERY, PREFIX) if sizes else None
+    scored = scored.select("segment_hash", "score") if scored is not None else spark.createDataFrame([], "segment_hash string, score double")
+    return fulltext.with_contents(scored, texts, True)
+
+
 def _vector(limit: int, where: str = "true") -> str:
     return f"""
     SELECT file_path, start_line, end_line, content AS code_chunk, score, segment_hash FROM (

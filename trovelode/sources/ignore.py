@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,8 +101,10 @@ def is_ignored(path: str, rules: list[Rule]) -> bool:
 
 
 def ignored(path: Column, rules: list[Rule]) -> Column:
-    """The same as a column expression, without Python: later rules are asked first."""
+    """The same as a column expression, without Python: rules of one sign that follow each other are one pattern, and the
+    last pattern that matches decides."""
     decision = F.lit(False)
-    for rule in rules:
-        decision = F.when(path.rlike(rule.expression), F.lit(not rule.negated)).otherwise(decision)
+    for negated, run in groupby(rules, key=lambda rule: rule.negated):
+        pattern = "|".join(f"(?:{rule.expression})" for rule in run)
+        decision = F.when(path.rlike(pattern), F.lit(not negated)).otherwise(decision)
     return decision
