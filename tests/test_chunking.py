@@ -159,3 +159,15 @@ def test_time_is_about_linear_in_the_file(path, line):
     began = time.perf_counter()
     chunk_file(path, text)
     assert time.perf_counter() - began < 10
+
+
+def test_heads_of_any_length():
+    from trovelode.operators import structure
+
+    names = ",\n".join(f"  parameter{i}: {{ a: number; b: string }} = {{ a: {i}, b: '' }}" for i in range(60))
+    text = f"export class Holder extends {'Base' * 300} {{\n  total(\n{names}\n  ): number {{\n    return 1;\n  }}\n}}\n"
+    found = [(n.kind, n.symbol, n.scope) for n in structure.extract("a/x.ts", text, text.split("\n"))]
+    assert found == [("class", "Holder", ""), ("method", "total", "Holder")]
+    text = f"int total(\n{','.join(f'{chr(10)}    int parameter{i}' for i in range(200))}\n)\n{{\n  return 1;\n}}\n"
+    assert [n.kind for n in structure.extract("x.c", text, text.split("\n"))] == ["function"]
+    assert structure.extract("x.c", text.replace(")\n{", ");\nstruct x y = {"), text.split("\n")) == []

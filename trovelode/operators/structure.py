@@ -35,7 +35,8 @@ _S = r"^[ \t]*(?:(?:export|default|declare|public|private|protected|internal|sta
 _NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
 _NO = r"(?!(?:if|for|while|switch|catch|return|else|new|do|try|throw|await|sizeof|function|match|foreach|elseif)\b)"
 
-#: What opens a definition in each language of the brace family, with its kind.
+#: What opens a definition in each language of the brace family, with its kind. ``§`` stands for a list of
+#: parameters in brackets, of any length and depth.
 _BRACE: dict[str, list[tuple[str, str]]] = {
     "ts": [
         (_S + r"function\*?\s+" + _NAME, "function"),
@@ -45,22 +46,25 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (_S + r"type\s+" + _NAME + r"[^=\n]*=\s*(?=\{)", "type"),
         (_S + r"namespace\s+(?P<name>[\w.]+)", "namespace"),
         (_S + r"module\s+(?P<name>[\w.'\"]+)", "module"),
-        (_S + r"(?:const|let|var)\s+" + _NAME + r"[^=\n]*=\s*(?:async\s*)?(?:function\b|\([^;{}]{0,800}?\)\s*(?::[^=\n]+)?=>|\w+\s*=>)", "function"),
-        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"\s*(?:<[^>\n]*>)?\([^;{}]{0,800}\)\s*(?::[^;{=]+)?(?=\{)", "method"),
+        (_S + r"(?:const|let|var)\s+" + _NAME + r"[^=\n]*=\s*(?:async\s*)?(?:function\b|\w+\s*=>)", "function"),
+        (_S + r"(?:const|let|var)\s+" + _NAME + r"[^=\n]*=\s*(?:async\s*)?§\s*(?::[^=\n]+)?=>", "function"),
+        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"\s*(?:<[^>\n]*>)?§\s*(?::[^;{=]+)?(?=\{)", "method"),
     ],
     "js": [
         (_S + r"function\*?\s+" + _NAME, "function"),
         (_S + r"class\s+" + _NAME, "class"),
-        (_S + r"(?:const|let|var)\s+" + _NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^;{}]{0,800}?\)\s*=>|\w+\s*=>)", "function"),
-        (r"^[ \t]*(?:[\w$]+\.)+" + _NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^;{}]{0,800}?\)\s*=>)", "function"),
-        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"\([^;{}]{0,800}\)\s*(?=\{)", "method"),
+        (_S + r"(?:const|let|var)\s+" + _NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\w+\s*=>)", "function"),
+        (_S + r"(?:const|let|var)\s+" + _NAME + r"\s*=\s*(?:async\s*)?§\s*=>", "function"),
+        (r"^[ \t]*(?:[\w$]+\.)+" + _NAME + r"\s*=\s*(?:async\s*)?function\b", "function"),
+        (r"^[ \t]*(?:[\w$]+\.)+" + _NAME + r"\s*=\s*(?:async\s*)?§\s*=>", "function"),
+        (_S + r"(?:get\s+|set\s+)?" + _NO + _NAME + r"§\s*(?=\{)", "method"),
     ],
     "java": [
         (_S + r"(?:class|record)\s+" + _NAME, "class"),
         (_S + r"@?interface\s+" + _NAME, "interface"),
         (_S + r"enum\s+" + _NAME, "enum"),
-        (_S + r"(?:<[^>\n]*>\s*)?[\w$.<>\[\],? ]{1,200}?\s+" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)", "method"),
-        (r"^[ \t]*(?:public|private|protected)\s+" + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "class"),
+        (_S + r"(?:<[^>\n]*>\s*)?[\w$.<>\[\],? ]+?\s+" + _NO + _NAME + r"\s*§\s*(?:throws\s+[\w.,\s]+)?(?=\{)", "method"),
+        (r"^[ \t]*(?:public|private|protected)\s+" + _NAME + r"\s*§\s*(?=\{)", "class"),
     ],
     "go": [
         (r"^func\s+" + _NAME, "function"),
@@ -69,27 +73,27 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
     ],
     "rs": [
         (_S + r"(?:const\s+)?fn\s+" + _NAME, "function"),
-        (_S + r"struct\s+" + _NAME + r"[^;{(]{0,800}(?=\{)", "class"),
+        (_S + r"struct\s+" + _NAME + r"", "class"),
         (_S + r"enum\s+" + _NAME, "enum"),
-        (_S + r"impl\b[^{;]{0,800}(?=\{)", "fallback"),
+        (_S + r"impl\b", "fallback"),
         (_S + r"mod\s+" + _NAME + r"\s*(?=\{)", "fallback"),
     ],
     "c": [
         (r"^(?:typedef\s+)?struct\s+" + _NAME + r"\s*(?=\{)", "class"),
         (r"^(?:typedef\s+)?enum\s+" + _NAME + r"\s*(?=\{)", "enum"),
-        (r"^(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w \t*]{0,200}?[ \t*]" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "function"),
+        (r"^(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w \t*]*?[ \t*]" + _NO + _NAME + r"\s*§\s*(?=\{)", "function"),
     ],
     "cpp": [
         (r"^[ \t]*namespace\s+(?P<name>[\w:]+)", "namespace"),
-        (r"^[ \t]*(?:class|struct)\s+" + _NAME + r"[^;{(]{0,800}(?=\{)", "class"),
-        (r"^[ \t]*(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w:<>, \t*&]{0,200}?[ \t*&]" + _NO + r"(?P<name>[\w:~]+)\s*\([^;{}]{0,800}\)[\w\s]*(?=\{)", "function"),
+        (r"^[ \t]*(?:class|struct)\s+" + _NAME + r"", "class"),
+        (r"^[ \t]*(?!(?:return|else|typedef|case|goto)\b)[A-Za-z_][\w:<>, \t*&]*?[ \t*&]" + _NO + r"(?P<name>[\w:~]+)\s*§[\w\s]*(?=\{)", "function"),
     ],
     "cs": [
         (_S + r"namespace\s+(?P<name>[\w.]+)\s*(?=\{)", "namespace"),
         (_S + r"(?:class|struct|record)\s+" + _NAME, "class"),
         (_S + r"interface\s+" + _NAME, "interface"),
         (_S + r"enum\s+" + _NAME, "enum"),
-        (_S + r"[\w.<>\[\],? ]{1,200}?\s+" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "method"),
+        (_S + r"[\w.<>\[\],? ]+?\s+" + _NO + _NAME + r"\s*§\s*(?=\{)", "method"),
     ],
     "php": [
         (_S + r"class\s+" + _NAME, "class"),
@@ -100,9 +104,9 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (r"^[ \t]+(?:(?:public|private|protected|static|final)\s+)*function\s+&?" + _NAME, "method"),
     ],
     "kt": [
-        (_S + r"(?:class|object)\s+" + _NAME + r"[^={]{0,800}(?=\{)", "class"),
+        (_S + r"(?:class|object)\s+" + _NAME + r"", "class"),
         (_S + r"interface\s+" + _NAME, "interface"),
-        (_S + r"fun\s+(?:<[^>\n]*>\s*)?(?:[\w<>]+\.)?" + _NAME + r"\s*\([^{}]{0,800}?\)[^={\n]*(?=\{)", "function"),
+        (_S + r"fun\s+(?:<[^>\n]*>\s*)?(?:[\w<>]+\.)?" + _NAME + r"\s*§[^={\n]*(?=\{)", "function"),
     ],
     "swift": [
         (_S + r"(?:class|struct|actor)\s+" + _NAME, "class"),
@@ -112,7 +116,7 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (_S + r"func\s+" + _NAME, "function"),
     ],
     "scala": [
-        (_S + r"(?:case\s+)?(?:class|object)\s+" + _NAME + r"[^={]{0,800}(?=\{)", "class"),
+        (_S + r"(?:case\s+)?(?:class|object)\s+" + _NAME + r"", "class"),
         (_S + r"trait\s+" + _NAME, "interface"),
         (_S + r"def\s+" + _NAME + r"[^={\n]*=?\s*(?=\{)", "function"),
     ],
@@ -121,10 +125,10 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
         (_S + r"(?:class|struct)\s+" + _NAME, "class"),
         (_S + r"interface\s+" + _NAME, "interface"),
         (_S + r"(?:enum|errordomain)\s+" + _NAME, "enum"),
-        (_S + r"[\w.<>\[\]?]+\s+" + _NO + _NAME + r"\s*\([^;{}]{0,800}\)\s*(?=\{)", "method"),
+        (_S + r"[\w.<>\[\]?]+\s+" + _NO + _NAME + r"\s*§\s*(?=\{)", "method"),
     ],
-    "zig": [(_S + r"fn\s+" + _NAME, "function"), (_S + r"const\s+" + _NAME + r"\s*=\s*(?:struct|enum|union)[^{]{0,800}(?=\{)", "type")],
-    "css": [(r"^@media[^{;]{0,800}(?=\{)", "fallback"), (r"^@keyframes[^{;]{0,800}(?=\{)", "fallback"), (r"^[^\s@/}][^{};]{0,800}(?=\{)", "fallback")],
+    "zig": [(_S + r"fn\s+" + _NAME, "function"), (_S + r"const\s+" + _NAME + r"\s*=\s*(?:struct|enum|union)", "type")],
+    "css": [(r"^@media", "fallback"), (r"^@keyframes", "fallback"), (r"^[^\s@/}]", "fallback")],
     "sh": [(r"^[ \t]*(?:function\s+)?(?P<name>[\w:-]+)\s*\(\s*\)\s*(?=\{)", "function")],
     "graphql": [
         (r"^(?:extend\s+)?(?:type|input|union|scalar)\s+" + _NAME, "type"),
@@ -136,9 +140,17 @@ _BRACE: dict[str, list[tuple[str, str]]] = {
 }
 _SAME = {"tsx": "ts", "jsx": "js", "h": "c", "hpp": "cpp", "vapi": "vala"}
 _NAMED = {"ts", "tsx", "graphql"}
-_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{}]", re.S)
-_HASH_TOKEN = re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\])*\"|'[^']*'|[{}]", re.S)
-_COMPILED = {name: [(re.compile(p, re.M), kind) for p, kind in rules] for name, rules in _BRACE.items()}
+_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[{}();]", re.S)
+_HASH_TOKEN = re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\])*\"|'[^']*'|[{}();]", re.S)
+
+
+def _compiled(source: str) -> tuple[re.Pattern, re.Pattern | None]:
+    """A head, and what follows its parameters."""
+    head, parameters, tail = source.partition("§")
+    return re.compile(head + r"\(" if parameters else head, re.M), re.compile(tail, re.M) if parameters else None
+
+
+_COMPILED = {name: [(*_compiled(p), kind) for p, kind in rules] for name, rules in _BRACE.items()}
 
 
 def _row_of(content: str) -> list[int]:
@@ -154,14 +166,25 @@ def _braces(language: str, content: str, lines: list[str]) -> list[Node]:
 
     tokens = (_HASH_TOKEN if language == "sh" else _TOKEN).finditer(content)
     closing: dict[int, int] = {}
-    opens: list[int] = []
+    rounds: dict[int, int] = {}
+    stops: list[int] = []  # semicolons outside round brackets
+    opens: list[tuple[str, int]] = []
     quiet: list[tuple[int, int]] = []
     for m in tokens:
-        if m.group() == "{":
-            opens.append(m.start())
-        elif m.group() == "}":
+        token = m.group()
+        if token in "{(":
+            opens.append((token, m.start()))
+        elif token == "}":
+            while opens and opens[-1][0] == "(":  # one that never closes
+                opens.pop()
             if opens:
-                closing[opens.pop()] = m.start()
+                closing[opens.pop()[1]] = m.start()
+        elif token == ")":
+            if opens and opens[-1][0] == "(":
+                rounds[opens.pop()[1]] = m.end()
+        elif token == ";":
+            if not opens or opens[-1][0] == "{":
+                stops.append(m.start())
         else:
             quiet.append(m.span())
     starts = _row_of(content)
@@ -169,28 +192,34 @@ def _braces(language: str, content: str, lines: list[str]) -> list[Node]:
     row = lambda at: bisect_right(starts, at) - 1
     quiet_starts = [a for a, _ in quiet]
     nodes: dict[tuple[int, int], Node] = {}
-    for pattern, kind in _COMPILED[language]:
+    for pattern, tail, kind in _COMPILED[language]:
+        taken = -1
         for m in pattern.finditer(content):
             begin = m.start() + len(m.group()) - len(m.group().lstrip())
             i = bisect_right(quiet_starts, begin) - 1
             if i >= 0 and quiet[i][1] > begin:
                 continue  # inside a string or comment
-            j = bisect_right(places, m.end() - 1)
-            if j >= len(places):
-                continue
+            end = m.end()
+            if tail is not None:
+                after = rounds.get(end - 1)
+                found = tail.match(content, after) if after is not None else None
+                if found is None:
+                    continue
+                end = found.end()
+            j = bisect_right(places, end - 1)
+            if j >= len(places) or places[j] == taken:
+                continue  # a selector over several lines begins once
             brace = places[j]
-            if ";" in _without(content[m.end() : brace]) or content.count("\n", m.end(), brace) > 12:
+            stop = bisect_right(stops, end - 1)
+            if stop < len(stops) and stops[stop] < brace:
                 continue  # a declaration without body
+            taken = brace
             name = m.groupdict().get("name") or ""
             key = (row(begin), row(closing[brace]))
             nodes.setdefault(key, Node(key[0], key[1], kind, name.strip("'\"")))
     return sorted(nodes.values(), key=lambda n: (n.start, -n.end))
 
 
-def _without(text: str) -> str:
-    return re.sub(r"\([^()]*\)|/\*.*?\*/|//[^\n]*", "", text, flags=re.S)
-
-
 def _indent(line: str) -> int:
     return len(line) - len(line.lstrip(" \t"))
 
