@@ -132,3 +132,26 @@ def test_edge_rows(spark):
     out = [(r["segment_hash"], r["content"], r["n_credentials"]) for r in secrets.redacted(df).collect()]
     assert len(out) == 7 and ("c", None, 0) in out and ("d", "", 0) in out and ("a", good.replace("Ab12!cd", "*" * 7), 1) in out
     assert secrets.credentials(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, line",
+    [
+        ('set_password(user, "Zx81Qw77Ty")', 1), ('authenticate(user, "Zx81Qw77Ty")', 1), ('secretKey = new String("Zx81Qw77Ty");', 1),
+        ('password = """\nZx81Qw77Ty"""', 1), ('password:\n  "Zx81Qw77Ty"', 2), ("client.resetPassword(\n  account,\n  'Zx81Qw77Ty',\n)", 3),
+        ("x = call(a, 'qrs_4kT9vXw2LmZ8pRb7QnY3s')", 1), ("x = 'QRS-4kT9vXw2LmZ8pRb7QnY3sAb1'", 1),
+    ],
+)
+def test_passed_and_wrapped_literals(text, line):
+    assert [f.line for f in secrets.find(text, "a/x.ts")] == [line]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'authenticate(user, "utf-8")', 'connect(host, "read-only")', 'get_password(user, "Zx81Qw77Ty")', 'secretKey = new Loader("Zx81Qw77Ty");', "x = 'abc-0123456789abcdef0123456789'",
+        "import 'lib.someVeryLongIdentifierName2'", "x = 'ab_ThisIsOneLongCamelCaseName1And2'", 'set_password("Zx81Qw77Ty", user)',
+    ],
+)
+def test_other_arguments(text):
+    assert secrets.find(text, "a/x.ts") == []

@@ -61,14 +61,15 @@ _PLACEHOLDER = re.compile(
     """,
     re.I | re.X,
 )
-#: Forms in which issuers give their keys; each is enough by itself.
+#: Forms in which issuers give their keys; each is enough by itself. The general one, a short name and a long
+#: run, is one if the run is of letters of both cases and digits mixed at random.
 _ISSUED = re.compile(
     r"""(?<![A-Za-z0-9_/+=.-])(?:
         (?:sk|rk|pk)_live_[0-9A-Za-z]{16,} | sk-[A-Za-z0-9_-]{20,} | gh[pousr]_[0-9A-Za-z]{30,} | github_pat_\w{40,}
       | (?:AKIA|ASIA)[0-9A-Z]{16} | xox[abprs]-[0-9A-Za-z-]{10,} | AIza[0-9A-Za-z_-]{30,} | glpat-[\w-]{16,} | npm_[0-9A-Za-z]{30,}
       | eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,} | SG\.[\w-]{16,}\.[\w-]{16,}
-      | (?!(?:sha|md)\d+-)[a-z]{2,6}_(?:pat|live|prod|key)_[0-9A-Za-z]{16,} | [a-z]{2,4}-(?:prod|live)-[0-9A-Za-z]{16,} | tdl\.[0-9A-Za-z]{20,}
-      | [A-Z]{3}-[0-9A-Za-z]{24,} | hbr_[0-9A-Za-z]{20,}
+      | (?!(?:sha|md)\d+-)[a-z]{2,6}[_-](?:pat|live|prod|key)[_-][0-9A-Za-z]{16,}
+      | (?P<general>(?:[a-z]{2,6}|[A-Z]{2,6})[._-](?P<random>[0-9A-Za-z]{20,}))
     )(?![0-9A-Za-z])""",
     re.X,
 )
@@ -103,12 +104,12 @@ _TOLD = re.compile(
 #: Lines worth a look, found without tokenizing.
 _TRIGGER = re.compile(
     r"""pass(?:word|wd|phrase|code|wort)?(?![a-z])|p(?:wd|w)(?![a-z])|PASS|P(?:WD|W)\b|secret|token|credential|api[-_ ]?key|(?:access|private|signing|encryption|auth|master|account|shared|deploy|service|client)[-_ ]?key
-      | ://[^\s/@:]*:[^\s/@]+@|//hook|authorization|bearer\s|basic\s|sshpass|identified\s+by|mysql|curl\s|login|\bkey\b|connect|kennwort|contraseña|\bclave\b|\bpsk\b|\bvalue\s*:""",
+      | ://[^\s/@:]*:[^\s/@]+@|//hook|authorization|bearer\s|basic\s|sshpass|identified\s+by|mysql|curl\s|login|authenticate|sign_?in\b|\bkey\b|connect|kennwort|contraseña|\bclave\b|\bpsk\b|\bvalue\s*:""",
     re.I | re.X,
 )
 #: Parts of what ``_TRIGGER`` finds; every match has one of them.
 _HINTS = (
-    "pass pwd pw secret token credential key ://  authorization bearer basic identified mysql curl login connect kennwort "
+    "pass pwd pw secret token credential key ://  authorization bearer basic identified mysql curl login authenticate signin sign_in connect kennwort "
     "contraseña clave psk value"
 ).split()
 _TOKEN_FORMS = (
@@ -122,6 +123,8 @@ _TOKEN_FORMS = (
 _QUOTES = r"""(?P<q>\"\"\"|'''|"|'|`)"""
 #: The name of a call that connects.
 _CONNECTS = re.compile(r"(?:connect|login|log_in|signin|sign_in|authenticate|auth)\w*\Z", re.I)
+#: Types that hold a literal as it is.
+_WRAPS = re.compile(r"String|Secret|Password|Credential", re.I)
 #: A literal over lines, from its opening on.
 _OVER_LINES = re.compile(r"(?P<q>\"\"\"|'''|`)(?P<body>(?:\\.|(?!(?P=q)).)*)(?P=q)", re.S)
 _PARTS = re.compile(r"[A-ZÄÖÜÑ]+(?=[A-ZÄÖÜÑ][a-zäöüñ])|[A-ZÄÖÜÑ]?[a-zäöüñß]+|[A-ZÄÖÜÑ]+|\d+")
@@ -143,12 +146,25 @@ def is_placeholder(value: str) -> bool:
     return not value.strip() or bool(_PLACEHOLDER.search(value.strip()))
 
 
+def _issued(match: re.Match) -> bool:
+    """Whether a match of ``_ISSUED`` is a key: no placeholder, and at random where the form is the general one."""
+    if is_placeholder(match.group()) or not re.search(r"\d", match.group()):
+        return False
+    run = match.group("random")
+    if run is None:
+        return True
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in run]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    words = re.fullmatch(r"(?:[A-Z]?[a-z]+\d{0,2})+", run)  # a name in camel case
+    return len(set(kinds)) == 3 and changes >= 0.4 * len(run) and kinds.count("d") >= 2 and not words
+
+
 def looks_secret(value: str) -> bool:
     """Whether a word in running text is more than a word: digits among letters, signs, or case that follows no words."""
     core = value.rstrip(".,;:)")
     if len(core) < 6 or is_placeholder(core) or re.match(r"[\w.]+\(", core):
         return False
-    if _ISSUED.search(core):
+    if (issued := _ISSUED.search(core)) and _issued(issued):
         return True
     if re.search(r"[!?#%*$^~+@=]", core) or re.search(r"[A-Za-z]\d|\d[A-Za-z]", core):
         return not re.fullmatch(r"v?\d+(\.\d+)*\w{0,3}|\d{4}-\d\d-\d\d.*|[#@]\w+", core)
@@ -234,6 +250,26 @@ class _Stream:
         token = self.get(i)
         return token.group("op") if token else None
 
+    def word(self, i: int) -> str | None:
+        token = self.get(i)
+        return token.group("word") if token else None
+
+    def arguments(self, i: int, most: int) -> tuple[list[re.Match], bool]:
+        """The first literals, at most so many, among the arguments that the bracket at token ``i`` opens, and whether the last
+        of them ends the arguments."""
+        literals, depth, j, ends = [], 0, i, False
+        while len(literals) <= most and (now := self.get(j)) is not None:
+            depth += (now.group("op") in ("(", "[", "{")) - (now.group("op") in (")", "]", "}"))
+            if depth <= 0:
+                return literals[:most], ends
+            if (literal := self.literal(j)) is not None:
+                literals.append(literal)
+                j, ends = self.after(j, literal), True
+                continue
+            ends = ends and now.group("op") == ","
+            j += 1
+        return literals[:most], False
+
     def literal(self, i: int) -> re.Match | None:
         """The string literal at token ``i``; one that is open at the end of its line goes on below."""
         token = self.get(i)
@@ -322,30 +358,23 @@ def _line_findings(content: str, at: int, end: int, number: int, extension: str,
         name = token.group("word") or (token.group("body") if token.group("string") is not None else None)
         if not name:
             continue
-        # svc("host", "user", "password"): the literal after an account in a call that connects
+        # connect("host", "user", "password"): the literal after an account, or the one that ends the arguments
         if token.group("word") and _CONNECTS.search(name) and stream.op(i + 1) == "(":
-            literals, depth, j = [], 0, i + 1
-            while len(literals) < 3 and (now := stream.get(j)) is not None:
-                depth += (now.group("op") in ("(", "[", "{")) - (now.group("op") in (")", "]", "}"))
-                if depth <= 0:
-                    break
-                if now.group("string") is not None:
-                    literals.append(now)
-                j += 1
+            literals, last = stream.arguments(i + 1, 3)
             if len(literals) == 3:
                 user, word = literals[1].group("body"), literals[2].group("body")
                 if _usable(word) and re.fullmatch(r"[\w.-]+", user) and not re.fullmatch(r"[a-z_ -]+|[A-Z_ ]+", word):
                     add("passed", _body(literals[2]))
+            elif len(literals) == 1 and last and _usable(literals[0].group("body")) and looks_secret(literals[0].group("body")):
+                add("passed", _body(literals[0]))
         if not re.fullmatch(r"\$?[\w$.À-ɏ-]{2,80}", name) or not names_credential(name):
             continue
-        # setName(literal), but not loadName(literal): what a call gives is no literal
-        if re.match(r"(?:set|with|use|put|update|change)(?:_|[A-Z])", name) and stream.op(i + 1) == "(":
-            literal = stream.literal(i + 2)
-            if literal and _usable(literal.group("body")):
-                j = stream.after(i + 2, literal)
-                if stream.op(j) == ")" or stream.op(j) == "," and stream.op(j + 1) == ")":
-                    add("passed", _body(literal))
-                    continue
+        # setName(..., literal), but not loadName(literal): what a call gives is no literal
+        if re.match(r"(?:set|with|use|put|update|change|reset)(?:_|[A-Z])", name) and stream.op(i + 1) == "(":
+            literals, last = stream.arguments(i + 1, 2)
+            if len(literals) == 1 and last and _usable(literals[0].group("body")):
+                add("passed", _body(literals[0]))
+                continue
         # name [type or closing signs] = literal [+ literal ...]
         j = i + 1
         while j < stream.own and (code[j].group("word") or code[j].group("op") in (":", "*", "[", "]", "?", ")", "<", ">", "&")) and j - i <= 6:
@@ -361,6 +390,8 @@ def _line_findings(content: str, at: int, end: int, number: int, extension: str,
             if j + 1 >= stream.own and not (_opens_call(content, token) and _closes(stream, j + 2)):
                 continue
         j += 1
+        if stream.word(j) == "new" and _WRAPS.search(stream.word(j + 1) or "") and stream.op(j + 2) == "(":
+            j += 2  # a string made of the literal
         if stream.op(j) == "(":
             j += 1
         spans, value = [], ""
@@ -452,7 +483,7 @@ def find(content: str | None, path: str | None = None) -> list[Finding]:
     extension = "env" if base.startswith(".env") else base.rsplit(".", 1)[-1] if "." in base else ""
     extension = re.sub(r"\W.*", "", extension)
 
-    issued = [m for m in _ISSUED.finditer(content) if not is_placeholder(m.group()) and re.search(r"\d", m.group())]
+    issued = [m for m in _ISSUED.finditer(content) if _issued(m)]
     starts = _suspected(content)
     per_line: list[Finding] = []
     lexed: dict[int, list[re.Match]] = {}
