@@ -110,17 +110,36 @@ def contained(chunks: DataFrame) -> DataFrame:
     return lines.join(inner, ["file_path", "start_line", "end_line"], "left_semi").select("segment_hash")
 
 
+#: Lines of a file that one group of the join of classes and what is inside them has.
+LINES_TOGETHER = 256
+
+
 def inner_symbols(chunks: DataFrame) -> DataFrame:
-    """(segment_hash, inner_symbol): for each class chunk the first named chunk whose lines lie inside it."""
+    """(segment_hash, inner_symbol): for each class chunk the first named chunk whose lines lie inside it.
+
+    A class is joined block by block of lines with the chunks that begin there, so no file is one group, however long.
+    """
     lines = chunks.where("start_line > 0 and end_line >= start_line and file_path is not null")
-    outer = lines.where("kind = 'class'").select("file_path", "segment_hash", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+    block = lambda c: F.floor(F.col(c) / LINES_TOGETHER)
+    outer = lines.where("kind = 'class'").select(
+        "file_path", "segment_hash", F.col("start_line").alias("a"), F.col("end_line").alias("b"), F.explode(F.sequence(block("start_line"), block("end_line"))).alias("block")
+    )
     inner = lines.where("symbol != ''").select(
-        "file_path", "start_line", "end_line", "symbol", F.col("segment_hash").alias("inner_hash")
+        "file_path", "start_line", "end_line", "symbol", F.col("segment_hash").alias("inner_hash"), block("start_line").alias("block")
     )
     inside = (F.col("start_line") >= F.col("a")) & (F.col("end_line") <= F.col("b")) & (F.col("inner_hash") != F.col("segment_hash"))
     return (
-        outer.join(inner, "file_path")
+        outer.join(inner, ["file_path", "block"])
         .where(inside)
         .groupBy("segment_hash")
         .agg(F.min_by("symbol", F.struct("start_line", "end_line", "inner_hash")).alias("inner_symbol"))
     )
+
+
+def outlines(chunks: DataFrame) -> DataFrame:
+    """(segment_hash, file_path, start_line, end_line, symbol, kind): a range for each file, from the first to the last line of
+    its chunks, as a class without a name."""
+    lines = chunks.where("start_line > 0 and end_line >= start_line and file_path is not null")
+    ranges = lines.groupBy("file_path").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    key, symbol, kind = F.concat(F.lit("outline:"), "file_path"), F.lit(None).cast("string"), F.lit("class")
+    return ranges.select(key.alias("segment_hash"), "file_path", "start_line", "end_line", symbol.alias("symbol"), kind.alias("kind"))

@@ -11,4 +11,4 @@ from trovelode.plans import indexing, search
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {**search.QUERIES, **indexing.QUERIES}
-SQL: dict[str, str] = {**search.SQL}
+SQL: dict[str, str] = {**search.SQL, **indexing.SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trovelode import config
 from trovelode.functions import hashing, paths
 from trovelode.operators import diff, fulltext, fusion, grep, listing, vector
+from trovelode.sources import ignore
 from trovelode.sources.embed import HashEmbedder
 from trovelode.tables import table
 
@@ -65,6 +66,20 @@ def sc1_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("path", paths.is_scanned(F.col("path")).alias("kept"))
 
 
+@query(
+    "sc2_ignored",
+    """
+    SELECT DISTINCT path FROM files WHERE path IS NOT NULL AND CASE
+        WHEN regexp_matches(path, '/tests/.*\\.ts$') THEN true
+        WHEN regexp_matches(path, '^harbor-ledger/libs/[^/]+/[a-m][^/]*\\.[^/]*$') OR regexp_matches(path, '(^|/)[^/]*_[^/]*\\.json(/|$)') THEN false
+        ELSE regexp_matches(path, '(^|/)[^/]*\\.(md|json)(/|$)') OR regexp_matches(path, '^harbor-ledger/libs/') OR regexp_matches(path, '(^|/)cmd/') END
+    """,
+)
+def sc2_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = ignore.load_rules("# ours\n*.md\n*.json\n/harbor-ledger/libs/\ncmd/\n!harbor-ledger/libs/*/[a-m]*.*\n!*_*.json\n**/tests/**/*.ts")
+    return table(spark, sf_dir, "files").where("path is not null").where(ignore.ignored(F.col("path"), rules)).select("path").distinct()
+
+
 @query(
     "sc4_size_guard",
     f"SELECT path, CAST(strlen(content) AS BIGINT) AS n_bytes FROM {_files} WHERE strlen(content) <= {config.MAX_FILE_SIZE_BYTES}",
@@ -329,7 +344,18 @@ def w4_gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.gap_ranges(chunks(spark, sf_dir, "file_path", "start_line", "end_line"))
 
 
-_ranges = f"(SELECT * FROM {_chunks} WHERE start_line > 0 AND end_line >= start_line AND file_path IS NOT NULL)"
+_usable = f"{_chunks} WHERE start_line > 0 AND end_line >= start_line AND file_path IS NOT NULL"
+_ranges = f"""(
+    SELECT segment_hash, file_path, start_line, end_line, symbol, kind FROM {_usable}
+    UNION ALL SELECT 'outline:' || file_path, file_path, min(start_line), max(end_line), NULL, 'class' FROM {_usable} GROUP BY file_path)"""
+
+
+def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks and the outlines of their files, as in the given table hardly any chunk lies inside another."""
+    columns = ["file_path", "start_line", "end_line", "symbol", "kind"]
+    found = chunks(spark, sf_dir, *columns)
+    return found.select("segment_hash", *columns).unionByName(listing.outlines(found))
+
 
 
 @query(
@@ -341,7 +367,7 @@ _ranges = f"(SELECT * FROM {_chunks} WHERE start_line > 0 AND end_line >= start_
     """,
 )
 def j7_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.contained(chunks(spark, sf_dir, "file_path", "start_line", "end_line"))
+    return listing.contained(_outlined(spark, sf_dir))
 
 
 @query(
@@ -354,7 +380,7 @@ def j7_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def j6_inner_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.inner_symbols(chunks(spark, sf_dir, "file_path", "start_line", "end_line", "symbol", "kind"))
+    return listing.inner_symbols(_outlined(spark, sf_dir))
 
 
 # Grep
