@@ -316,30 +316,30 @@ def similar_pairs(chunks: DataFrame, similarity: float = 0.6, all_pairs_up_to: i
 
 
 def similar_groups(chunks: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(segment_hash, class_id long, group_id long, n_links long): groups that links of the similarity connect.
+    """(segment_hash, class_id string, group_id string, n_links long): groups that links of the similarity connect.
 
-    ``n_links`` counts the other chunks that a chunk is similar to, copies included. ``group_id`` is the least class of
-    the group.
+    ``class_id`` and ``group_id`` are the least ``segment_hash`` of the chunks with the same runs and of the whole group; a chunk
+    without runs is a class and group of its own. ``n_links`` counts the other chunks that a chunk is similar to, copies
+    included.
     """
     members, pairs = _members_and_pairs(chunks, similarity)
     members = checkpointed(members)
     pairs = checkpointed(pairs.select("class_a", "class_b"))
-    copies = members.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
+    copies = members.where("n > 0").groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("segment_hash").alias("first"))
     links = pairs.union(pairs.select("class_b", "class_a")).toDF("class", "other")
-    linked = links.join(copies.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("copies").alias("others"))
+    linked = links.join(copies.select(F.col("class").alias("other"), "copies"), "other").groupBy("class").agg(F.sum("copies").alias("others"))
     groups = connected(pairs)
-    alone = F.col("n") == 0
-    return (
-        members.join(groups, "class", "left")
-        .join(linked, "class", "left")
-        .join(copies, "class", "left")
-        .select(
-            "segment_hash",
-            # A chunk without runs is a class of its own.
-            F.when(alone, F.xxhash64("segment_hash")).otherwise(F.col("class")).alias("class_id"),
-            F.when(alone, F.xxhash64("segment_hash")).otherwise(F.coalesce("group", "class")).alias("group_id"),
-            F.when(alone, F.lit(0)).otherwise(F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        )
+    # Only classes with a partner are in ``groups``, which are few.
+    least = groups.join(copies, "class").groupBy("group").agg(F.min("first").alias("group_id"))
+    known = copies.join(groups, "class", "left").join(least, "group", "left").join(linked, "class", "left").select(
+        "class",
+        F.col("first").alias("class_id"),
+        F.coalesce("group_id", "first").alias("group_id"),
+        (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+    )
+    own = F.col("segment_hash")
+    return members.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(known, "class", "left").select(
+        "segment_hash", F.coalesce("class_id", own).alias("class_id"), F.coalesce("group_id", own).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
