@@ -20,7 +20,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def own():
-    return bpe.Encoder(PATH)
+    return bpe.Encoder(open(PATH, "rb").read())
 
 
 def test_random_texts(own, reference):
@@ -77,3 +77,10 @@ def test_given_documents(spark, data, reference):
     for r in bpe.encode_column(table(spark, data, "documents")).collect():
         text = texts[r["doc_id"]]
         assert r["ids"] == (None if text is None else reference.encode_ordinary(text))
+
+
+def test_tables_of_pairs_start_anew(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 50)
+    own = bpe.Encoder(open(PATH, "rb").read())
+    text = " ".join(f"wørd{i}-xyz_{i * 7}Ab" for i in range(200))
+    assert own.encode(text) == reference.encode_ordinary(text) and len(own.compatible_pairs) <= 50

@@ -16,10 +16,12 @@ import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,8 @@ from trovelode.tables import spread
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces longer than this are not kept in the cache, and the cache starts anew at this many pieces.
 CACHED_LENGTH, CACHED_PIECES = 48, 400_000
+#: The table of compatible pairs starts anew at this many; what is kept of single tokens is bounded by the vocabulary.
+KNOWN_PAIRS = 500_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -39,20 +43,19 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = No
 class Encoder:
     """Encodes and decodes texts; one for each Python worker (see :func:`encoder`)."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import ahocorasick
         import regex
 
         self.bytes_of: dict[int, bytes] = {}
         self.rank: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton()
-        with open(path, "rb") as file:
-            for line in file:
-                if line.strip():
-                    word, number = line.split()
-                    token, number = base64.b64decode(word), int(number)
-                    self.bytes_of[number], self.rank[token] = token, number
-                    self.automaton.add_word(token.decode("latin-1"), (number, len(token)))
+        for line in vocabulary.splitlines():
+            if line.strip():
+                word, number = line.split()
+                token, number = base64.b64decode(word), int(number)
+                self.bytes_of[number], self.rank[token] = token, number
+                self.automaton.add_word(token.decode("latin-1"), (number, len(token)))
         self.automaton.make_automaton()
         self.findall = regex.compile(PIECES).findall
         self.compatible_pairs: dict[tuple[int, int], bool] = {}
@@ -117,6 +120,8 @@ class Encoder:
                 for a, ends in self.spine(left, 1)
                 for b, stops in self.spine(right, 0)
             )
+            if len(self.compatible_pairs) >= KNOWN_PAIRS:
+                self.compatible_pairs.clear()
             self.compatible_pairs[key] = known
         return known
 
@@ -189,9 +194,15 @@ class _Cache(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file; made once in each Python worker."""
-    return Encoder(path)
+def encoder(vocabulary: bytes) -> Encoder:
+    """The encoder of a vocabulary, as its file's bytes; made once in each Python worker."""
+    return Encoder(vocabulary)
+
+
+def shipped(spark: SparkSession, path: str | None = None) -> Broadcast[bytes]:
+    """The vocabulary, read by the driver and sent along with the job; its size is that of the file, under a megabyte. Executors
+    need no file of their own."""
+    return spark.sparkContext.broadcast(Path(path or vocabulary_path()).read_bytes())
 
 
 def encode_column(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,12 +211,12 @@ def encode_column(documents: DataFrame, path: str | None = None, key: str = "doc
     One pass without shuffle; rows are kept as they come, repeated rows too. Only the two columns are read, so other
     columns, of whatever name, play no part.
     """
-    path = path or vocabulary_path()
+    vocabulary = shipped(documents.sparkSession, path)
     source = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = source.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(vocabulary.value)
         for batch in batches:
             texts = batch.column("text")
             flat, ends, null = [], [0], []
@@ -225,12 +236,12 @@ def encode_column(documents: DataFrame, path: str | None = None, key: str = "doc
 
 def decode_column(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text): the inverse of :func:`encode_column`."""
-    path = path or vocabulary_path()
+    vocabulary = shipped(encoded.sparkSession, path)
     source = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     kind = source.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(vocabulary.value)
         for batch in batches:
             texts = [None if v is None else own.decode(v) for v in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trovelode.llm.bpe import encoder, vocabulary_path
+from trovelode.llm.bpe import encoder, shipped
 from trovelode.tables import checkpointed, spread
 
 #: Texts that share a length are numbered in buckets of about this many rows.
@@ -34,11 +34,11 @@ Pattern = tuple[list[tuple[int, int]], int]
 
 def token_counts(documents: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens long): 0 for null and empty texts."""
-    path = path or vocabulary_path()
+    vocabulary = shipped(documents.sparkSession, path)
     source = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(vocabulary.value)
         for batch in batches:
             counts = [own.count(v) if v else 0 for v in (x.as_py() for x in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(counts, pa.int64())], ["key", "n_tokens"])
