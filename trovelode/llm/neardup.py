@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ RANDOM_REFERENCES, CHUNK_REFERENCES = 15, 32
 #: and thus speed alone; results don't depend on it.
 SAMPLE_ROWS = 20_000
 #: A run in so many of the sampled chunks comes last in the order; there are at most (runs of the sample) / (this) of them.
-COMMON_IN_SAMPLE = 40
+COMMON_IN_SAMPLE = 12
 #: Rows of one run and band that one task joins with another; more are dealt out by a salt.
 SALTED_FROM = 500
 #: Members of a class that are paired as one block; larger classes are dealt into several. Speed alone depends on it.
@@ -203,8 +204,30 @@ def _far_apart(a: Column, b: Column, bound: Column) -> Column:
     return F.exists(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d > bound)
 
 
+class _Stages(NamedTuple):
+    """What a search for pairs goes through: the chunks with their class, and the pairs of classes that the join names, that the
+    table leaves, and that are similar."""
+
+    members: DataFrame
+    named: DataFrame
+    left: DataFrame
+    pairs: DataFrame
+
+
 def _members_and_pairs(chunks: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(class, segment_hash, n) of each chunk and (class_a, class_b, shared) of each pair of classes."""
+    stages = _stages(chunks, similarity)
+    return stages.members, stages.pairs
+
+
+def table_counts(chunks: DataFrame, similarity: float) -> DataFrame:
+    """One row: (named, left, similar): how many pairs of classes the join names, the table of distances leaves and are similar."""
+    stages = _stages(chunks, similarity)
+    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in (("named", stages.named), ("left", stages.left), ("similar", stages.pairs))]
+    return rows[0].union(rows[1]).union(rows[2]).groupBy().pivot("stage", ["named", "left", "similar"]).agg(F.first("n"))
+
+
+def _stages(chunks: DataFrame, similarity: float) -> _Stages:
     t = similarity
     rows = _shared_runs(chunks)
     own = rows.where("run is null")
@@ -261,7 +284,7 @@ def _members_and_pairs(chunks: DataFrame, similarity: float) -> tuple[DataFrame,
         "shared",
         (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("similarity"),
     )
-    return members, pairs
+    return _Stages(members, asked, survivors, pairs)
 
 
 def similar_pairs(chunks: DataFrame, similarity: float = 0.6, all_pairs_up_to: int | None = None) -> DataFrame:

@@ -74,6 +74,10 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "chunks"), similarity=0.8)
 
 
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.table_counts(table(spark, sf_dir, "chunks"), similarity=0.6)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.credentials(table(spark, sf_dir, "chunks"))
 
@@ -115,7 +119,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_reasons": p1_reasons, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_round_trip": p2_round_trip, "p2_limits": p2_limits,
-    "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found,
+    "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_groups": p4_groups, "p4_table": p4_table, "p5_found": p5_found,
     "p5_redacted": p5_redacted, "p5_kept": p5_kept, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_kept": p7_kept,
 }
