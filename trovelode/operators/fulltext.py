@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovelode import config
-from trovelode.tables import latest_if_delivered
+from trovelode.tables import checkpointed, latest_if_delivered
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -112,6 +112,8 @@ def search(
     narrow = latest_if_delivered(
         words.select("segment_hash", "file_path", "start_line", "end_line", F.size("tokens").alias("length"), *tf, *kept), ["segment_hash"], "indexed_at"
     )
+    # Tokenizing is the work; its narrow result serves both the statistics and the scores.
+    narrow = checkpointed(narrow)
     frequencies = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
     stats = narrow.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"), *frequencies).first()
     chosen = narrow.where(" + ".join(f"tf{i}" for i in range(len(terms))) + " > 0" if terms else "false")
