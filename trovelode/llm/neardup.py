@@ -236,7 +236,9 @@ def _stages(chunks: DataFrame, similarity: float) -> _Stages:
     members = own.groupBy("segment_hash").agg(last).select("segment_hash", "last.class", "last.n")
     table = own.where("n > 0").groupBy("class").agg(F.first("distances").alias("distances"))
 
-    sets = rows.where("run is not null").groupBy("class").agg(F.first("n").alias("n"), F.collect_set(F.struct("place", "run")).alias("runs"))
+    # The runs of a class come from as many partitions, so nothing combines before the shuffle; as plain rows they are smaller.
+    flat = rows.where("run is not null").select("class", "n", "place", "run").repartition("class")
+    sets = flat.groupBy("class").agg(F.first("n").alias("n"), F.collect_set(F.struct("place", "run")).alias("runs"))
     # Runs that no other class holds come first in the order; what they leave of the prefix is taken from the shared ones.
     reach = F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1 - (F.col("n") - F.size("runs"))
     sets = checkpointed(sets.withColumn("reach", reach.cast("int")).where("reach > 0"))
